@@ -58,21 +58,21 @@ _cte(
 )
 _cte(
     "tagged",
-    """SELECT *, first_value(event_id) OVER w AS session_id, first_value(ts) OVER w AS start_ts
-       FROM numbered WINDOW w AS (PARTITION BY user_id, no ORDER BY ts, event_id)""",
+    """SELECT *, min(event_id) OVER w AS session_id, min(ts) OVER w AS start_ts
+       FROM numbered WINDOW w AS (PARTITION BY user_id, no)""",
     "numbered",
 )
 _cte(
     "all_sess",
-    f"""SELECT session_id, user_id, start_ts, max(ts) AS last_ts, CAST(start_ts AS DATE) AS dy,
+    f"""SELECT *, {_id("CASE WHEN violations > 0 THEN 'error' ELSE 'view' END")} AS user_ref,
+       {_id("CASE WHEN commands_count > 1 THEN 'click' END")} AS ports_ref,
+       {_id("CASE WHEN violations > 0 THEN 'nobody' ELSE 'purchase' END")} AS created_by_ref,
+       {_id("""'signup {"k": ' || commands_count || '}'""")} AS ip_ref FROM
+       (SELECT session_id, user_id, start_ts, max(ts) AS last_ts, CAST(start_ts AS DATE) AS dy,
        strftime(start_ts, '%Y%m%d%H') AS stamp, session_id % 10 AS server_id, session_id % 30 AS ip_id,
        count(*) AS commands_count, count(*) FILTER (event_type = 'error') AS violations,
-       count(*) FILTER (event_type IN ('error', 'signup')) AS triggered_total,
-       {_id("arg_min(event_type, (ts, event_id))")} AS user_ref,
-       {_id("arg_min(props, (ts, event_id))")} AS ports_ref,
-       {_id("arg_max(event_type, (ts, event_id))")} AS created_by_ref,
-       CASE WHEN count(*) > 1 THEN {_id("arg_max(props, (ts, event_id))")} ELSE -1 END AS ip_ref
-       FROM tagged GROUP BY session_id, user_id, start_ts""",
+       count(*) FILTER (event_type IN ('error', 'signup')) AS triggered_total
+       FROM tagged GROUP BY session_id, user_id, start_ts)""",
     "tagged",
 )
 _cte(

@@ -19,55 +19,57 @@ def _interval_hours(gap_hours: int) -> int:
     return max(h for h in (1, 2, 3, 4, 6, 8, 12, 24) if h <= gap_hours)
 
 
-def _interval(ts: Column, hours: int) -> Column:
-    return F.unix_date(F.to_date(ts)) * (24 // hours) + F.floor(F.hour(ts) / hours)
-
-
-def session_intervals(events: DataFrame, gap_hours: int = SESSION_GAP_HOURS) -> DataFrame:
-    """One row per (user, clock interval with events), with the session it belongs to."""
-    hours = _interval_hours(gap_hours)
-    point = F.struct("ts", "event_id", "event_type", "props")
-
-    def seen(event_type: str) -> Column:
-        return F.count_if(F.col("event_type") == event_type)
-
-    reduced = events.groupBy("user_id", _interval(F.col("ts"), hours).alias("slot")).agg(
-        F.min(point).alias("first"),
-        F.max(point).alias("last"),
+def _slot(ts: Column, hours: int) -> Column:
+    """The clock interval of a time, named by its first hour since the epoch."""
+    return F.unix_date(F.to_date(ts)).cast("long") * 24 + F.hour(ts) - F.hour(ts) % hours
+
+
+def session_slots(events: DataFrame, gap_hours: int = SESSION_GAP_HOURS) -> DataFrame:
+    """One row per (user, clock interval with events), numbered by the session it belongs to.
+
+    All aggregates are of fixed width, so the map tasks combine by hashing without a sort.
+    """
+    reduced = events.groupBy(
+        "user_id", _slot(F.col("ts"), _interval_hours(gap_hours)).alias("slot")
+    ).agg(
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min("event_id").alias("first_id"),
         F.count(F.lit(1)).alias("n_commands"),
-        seen("error").alias("n_errors"),
-        seen("signup").alias("n_signups"),
+        F.count_if(F.col("event_type") == "error").alias("n_errors"),
+        F.count_if(F.col("event_type") == "signup").alias("n_signups"),
     )
     w = W.partitionBy("user_id").orderBy("slot")
     gap = F.make_dt_interval(hours=F.lit(gap_hours))
-    previous = F.lag("last.ts").over(w)
-    opens = previous.isNull() | (F.col("first.ts") >= previous + gap)
-    opened = reduced.withColumn("opener", F.when(opens, F.col("first.event_id")))
-    return opened.withColumn(
-        "session_id",
-        F.last("opener", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)),
-    ).drop("opener")
+    opens = F.coalesce(F.col("first_ts") >= F.lag("last_ts").over(w) + gap, F.lit(True))
+    return reduced.withColumn("opens", F.when(opens, 1).otherwise(0)).withColumn(
+        "session_no", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0))
+    )
 
 
 def sessions(events: DataFrame, gap_hours: int = SESSION_GAP_HOURS) -> DataFrame:
-    """One row per session, with the columns the session queries need."""
+    """One row per session, with the columns the session queries need.
+
+    A session's id is the smallest id of its events. The ``_ref`` columns are dictionary ids.
+    """
     merged = (
-        session_intervals(events, gap_hours)
-        .groupBy("user_id", "session_id")
+        session_slots(events, gap_hours)
+        .groupBy("user_id", "session_no")
         .agg(
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
+            F.min("first_id").alias("session_id"),
+            F.min("first_ts").alias("start_ts"),
+            F.max("last_ts").alias("last_ts"),
             F.sum("n_commands").alias("commands_count"),
             F.sum("n_errors").alias("violations"),
             (F.sum("n_errors") + F.sum("n_signups")).alias("triggered_total"),
         )
     )
-    start = F.col("first.ts")
+    start, failed = F.col("start_ts"), F.col("violations") > 0
     return merged.select(
         "session_id",
         "user_id",
-        start.alias("start_ts"),
-        F.col("last.ts").alias("last_ts"),
+        "start_ts",
+        "last_ts",
         F.to_date(start).alias("day"),
         F.date_format(start, "yyyyMMddHH").alias("stamp"),
         (F.col("session_id") % 10).alias("server_id"),
@@ -75,27 +77,28 @@ def sessions(events: DataFrame, gap_hours: int = SESSION_GAP_HOURS) -> DataFrame
         "commands_count",
         "violations",
         "triggered_total",
-        dictionary_id(F.col("first.event_type")).alias("user_ref"),
-        dictionary_id(F.col("first.props")).alias("ports_ref"),
-        dictionary_id(F.col("last.event_type")).alias("created_by_ref"),
-        F.when(F.col("commands_count") > 1, dictionary_id(F.col("last.props")))
-        .otherwise(F.lit(-1))
-        .alias("ip_ref"),
+        dictionary_id(F.when(failed, "error").otherwise("view")).alias("user_ref"),
+        dictionary_id(F.when(F.col("commands_count") > 1, "click")).alias("ports_ref"),
+        dictionary_id(F.when(failed, "nobody").otherwise("purchase")).alias("created_by_ref"),
+        dictionary_id(F.concat_ws(" ", F.lit("signup"), _props(F.col("commands_count")))).alias("ip_ref"),
     )
 
 
+def _props(k: Column) -> Column:
+    return F.concat(F.lit('{"k": '), k.cast("string"), F.lit("}"))
+
+
 def commands(events: DataFrame, gap_hours: int = SESSION_GAP_HOURS) -> DataFrame:
     """One row per event, seen as a command typed in its session; ``day`` is the session's day."""
-    hours = _interval_hours(gap_hours)
-    of_user = W.partitionBy("user_id", "session_id")
-    slots = session_intervals(events, gap_hours).select(
+    of_session = W.partitionBy("user_id", "session_no")
+    slots = session_slots(events, gap_hours).select(
         "user_id",
         "slot",
-        "session_id",
-        F.to_date(F.min("first.ts").over(of_user)).alias("day"),
+        F.min("first_id").over(of_session).alias("session_id"),
+        F.to_date(F.min("first_ts").over(of_session)).alias("day"),
     )
     return (
-        events.withColumn("slot", _interval(F.col("ts"), hours))
+        events.withColumn("slot", _slot(F.col("ts"), _interval_hours(gap_hours)))
         .join(slots, ["user_id", "slot"])
         .select(
             F.col("event_id").alias("cmd_id"),
