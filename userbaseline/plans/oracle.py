@@ -576,7 +576,8 @@ def oracle_sql() -> dict[str, str]:
     )
     q["stream_sessions_per_day"] = _with(
         f"""SELECT user_id, {d} AS day, count(*) AS sessions_per_day FROM sess
-        WHERE last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL""",
+        WHERE last_ts + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND <=
+        (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events) GROUP BY ALL""",
         "sess",
     )
     return q

@@ -22,11 +22,16 @@ def event_stream(spark: SparkSession, folder: str, files: str = "events*.parquet
 def closed_sessions(
     events: DataFrame, gap_hours: int = SESSION_GAP_HOURS, lateness: str = LATENESS
 ) -> DataFrame:
-    """Sessions that no event within the allowed lateness can extend any more."""
+    """Sessions that no event within the allowed lateness can extend any more.
+
+    A session window also takes an event exactly one gap after the last, which by the rule of the
+    batch form begins a new session; hence the gap is one microsecond shorter here.
+    """
+    gap = f"{gap_hours * 3600 - 1} seconds 999999 microseconds"
     return (
         events.select("user_id", F.col("ts").cast("timestamp").alias("at"))
         .withWatermark("at", lateness)
-        .groupBy("user_id", F.session_window("at", f"{gap_hours} hours").alias("w"))
+        .groupBy("user_id", F.session_window("at", gap).alias("w"))
         .agg(F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n_commands"))
         .select(
             "user_id",
