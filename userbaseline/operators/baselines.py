@@ -3,9 +3,9 @@
 Days are addressed by their position among the user's observed days (``idx``), gaps unfilled.
 For a day t the week anchor is the earliest observed day of t−6 … t−1, or the one before it
 when that is the previous observed day; the month anchor is the earliest of t−29 … t−1, or the
-one before it when that is the week anchor. Both anchors lie within the 29 observed days
-before t, so a window frame of 29 rows holds all that is needed: one shuffle by user, no
-self-join, and a user contributes one row per day however many commands were typed.
+one before it when that is the week anchor. Every mean between two anchors is the content of
+a window frame, or of a frame and one neighbouring day: one shuffle by user, no self-join,
+and a user contributes one row per day however many commands were typed.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Look-back of the two anchors in days, and of the deepest position in rows.
+# Look-back of the two anchors in days.
 WEEK_DAYS = 6
 MONTH_DAYS = 29
-HISTORY_ROWS = 29
 
 
 def _by_day():
@@ -60,7 +59,6 @@ def _anchored(series: DataFrame) -> DataFrame:
             "month_idx",
             F.when(week.isNotNull(), existing(F.when(mi == week, mi - 1).otherwise(mi))),
         )
-        .drop("wi", "mi")
     )
 
 
@@ -79,39 +77,85 @@ def with_baselines(series: DataFrame, features: Sequence[str], week_mode: str =
     """
     if week_mode not in ("mean", "last"):
         raise ValueError(f"unknown week_mode {week_mode!r}")
-    w = _by_day()
-    past = F.collect_list(F.struct(*features)).over(w.rowsBetween(-HISTORY_ROWS, -1))
-    prepared = _anchored(series).withColumns(
-        {"past": past, **{f"{f}_prev": F.lag(f).over(w).cast("double") for f in features}}
+    framed = _anchored(series).select("*", *[c for f in features for c in _frames(f)])
+    means = framed.select(
+        *series.columns,
+        "idx",
+        "prev_day",
+        "week_idx",
+        "month_idx",
+        *[c for f in features for c in _means(f, week_mode)],
     )
-    # position p of an observed day is element p − offset of ``past``
-    offset = F.col("idx") - 1 - F.size("past")
-
-    def mean_between(feature: str, low: Column, high: Column) -> Column:
-        days = F.slice(F.col("past"), low - offset, high - low + 1)
-        values = F.filter(days.getField(feature), lambda x: x.isNotNull())
-        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-        return F.when(low.isNotNull() & high.isNotNull(), F.try_divide(total, F.size(values)))
-
-    week, month, last = F.col("week_idx"), F.col("month_idx"), F.col("idx") - 1
-    means = {}
-    for f in features:
-        if week_mode == "mean":
-            means[f"{f}_week"] = mean_between(f, week, last)
-        else:
-            means[f"{f}_week"] = F.when(week.isNotNull(), F.col(f"{f}_prev"))
-        # least and greatest skip NULLs, so both anchors have to exist first
-        means[f"{f}_month"] = F.when(
-            week.isNotNull() & month.isNotNull(),
-            mean_between(f, F.least(week, month), F.greatest(week, month)),
-        )
-    compared = {
-        f"{f}_ok": F.col(f).isNotNull()
-        & F.col(f"{f}_week").isNotNull()
-        & F.col(f"{f}_month").isNotNull()
-        for f in features
+    return means.withColumns({f"{f}_ok": _compared(f) for f in features})
+
+
+def _frames(feature: str) -> list[Column]:
+    """Everything the means of one feature are put together from."""
+    w, value = _by_day(), F.col(feature).cast("double")
+    week = w.rangeBetween(-WEEK_DAYS, -1)
+    older = w.rangeBetween(-MONTH_DAYS, -WEEK_DAYS - 1)
+    return [
+        F.lag(value).over(w).alias(f"{feature}_prev"),
+        F.avg(value).over(week).alias(f"{feature}_week_days"),
+        F.first(value).over(week).alias(f"{feature}_week_first"),
+        F.sum(value).over(older).alias(f"{feature}_older_sum"),
+        F.count(value).over(older).alias(f"{feature}_older_n"),
+        F.last(value)
+        .over(w.rangeBetween(W.unboundedPreceding, -MONTH_DAYS - 1))
+        .alias(f"{feature}_before_month"),
+        F.avg(value).over(w.rowsBetween(-2, -1)).alias(f"{feature}_last_two"),
+        F.avg(value).over(w.rowsBetween(-3, -2)).alias(f"{feature}_two_before"),
+    ]
+
+
+def _means(feature: str, week_mode: str) -> list[Column]:
+    """Previous value, week mean and month mean of one feature.
+
+    With several observed days in the week, the week mean is that of the week's frame, and the
+    month runs from the month's first day to the week's first: the days older than the week
+    (or, if there are none, the one day before the month) and the week's first day. When the
+    previous day is the week's only one, the week anchor is the day before it, and the month
+    ends there.
+    """
+    idx, wi, mi = F.col("idx"), F.col("wi"), F.col("mi")
+    part = {
+        n: F.col(f"{feature}_{n}")
+        for n in ("prev", "week_days", "week_first", "older_sum", "older_n", "before_month",
+                  "last_two", "two_before")
     }
-    return prepared.withColumns(means).withColumns(compared).drop("past", "dn")
+    alone = wi == idx - 1
+    week = F.when(alone, part["last_two"]).otherwise(part["week_days"])
+    if week_mode == "last":
+        week = part["prev"]
+
+    def present(value: Column) -> Column:
+        return F.when(value.isNotNull(), 1).otherwise(0)
+
+    zero = F.lit(0.0)
+    no_older = mi == wi
+    low_sum = F.when(no_older, part["before_month"]).otherwise(part["older_sum"])
+    low_n = F.when(no_older, present(part["before_month"])).otherwise(part["older_n"])
+    month = (
+        F.when(alone & (mi == idx - 1), part["last_two"])
+        .when(alone & (mi == idx - 2), part["two_before"])
+        .when(alone, F.try_divide(part["older_sum"], part["older_n"]))
+        .otherwise(
+            F.try_divide(
+                F.coalesce(low_sum, zero) + F.coalesce(part["week_first"], zero),
+                low_n + present(part["week_first"]),
+            )
+        )
+    )
+    return [
+        part["prev"],
+        F.when(F.col("week_idx").isNotNull(), week).alias(f"{feature}_week"),
+        F.when(F.col("month_idx").isNotNull(), month).alias(f"{feature}_month"),
+    ]
+
+
+def _compared(feature: str) -> Column:
+    parts = [F.col(feature), F.col(f"{feature}_week"), F.col(f"{feature}_month")]
+    return parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
 
 
 def split_by_date(series: DataFrame, test_from: str, require_observed: bool = False) -> DataFrame:
@@ -148,10 +192,5 @@ def frozen_baselines(
     held = split.withColumns(
         {n: F.max(F.when(at_start, F.col(n))).over(everyone) for n in names}
     )
-    compared = {
-        f"{f}_ok": F.col(f).isNotNull()
-        & F.col(f"{f}_week").isNotNull()
-        & F.col(f"{f}_month").isNotNull()
-        for f in features
-    }
+    compared = {f"{f}_ok": _compared(f) for f in features}
     return held.filter(F.col("split") == "test").withColumns(compared).drop("first_test", "split")
