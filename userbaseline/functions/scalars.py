@@ -59,10 +59,10 @@ def clean_text(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """The terms of a text: cleaned, split at white space, short ones left out."""
-    return F.filter(
-        F.split(clean_text(text), " "), lambda t: F.char_length(t) >= MIN_TERM_CHARS
-    )
+    """The terms of a cleaned text: split at white space, short ones left out."""
+    # the split takes a run of white space as one, so there is no need to collapse it first
+    words = F.split(F.regexp_replace(F.lower(text), DIGITS, ""), WHITE_SPACE)
+    return F.filter(words, lambda t: F.char_length(t) >= MIN_TERM_CHARS)
 
 
 def text_similarity(a: Column, b: Column) -> Column:

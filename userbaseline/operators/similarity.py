@@ -26,7 +26,8 @@ from userbaseline.operators.tenancy import commands_of_sessions
 from userbaseline.session import cut, scratch_path
 
 DAY = ["user_id", "day"]
-INLINE_CHARS = 8_192
+# beyond this length the block comparison is the faster one as well
+INLINE_CHARS = 2_048
 # text that may lie in one Arrow batch of the block comparison
 _BATCH_CHARS = 8_000_000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -161,14 +162,11 @@ def _sweep(grid: DataFrame, rows: DataFrame, columns: DataFrame, path: str) -> i
             from_left = done.select(*DAY, "i", F.col("right_edge"))
             from_above = done.select(*DAY, "j", F.col("bottom_edge"))
             here = here.join(from_left, [*DAY, "i"], "left").join(from_above, [*DAY, "j"], "left")
-        # a set number of partitions: rectangles are small data but long work, so they must
-        # not be packed into few tasks by their size
+        # dealt out evenly over a set number of tasks: rectangles are small data but long work,
+        # so they must not be packed together by their size
         here.select(
             *DAY, "i", "j", "n_columns", "row_text", "column_text", "right_edge", "bottom_edge"
-        ).repartition(partitions, *DAY, "i").mapInPandas(
-            _solve, _EDGES
-        ).write.parquet(f"{path}/d={d}")
-
+        ).repartition(partitions).mapInPandas(_solve, _EDGES).write.parquet(f"{path}/d={d}")
     return n_diagonals
 
 

@@ -105,11 +105,15 @@ class Inputs:
     def sessions_per_day(self) -> DataFrame:
         return features.sessions_per_day(self.sessions)
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return readers.spread(self.table("documents").select("doc_id", "source", "text"))
+
     @cached_property
     def corpus(self) -> DataFrame:
         """Documents as texts of the reputation model: labelled ones train, the rest test."""
         label = F.when(F.col("quality") == 1, "GOOD").when(F.col("quality") == 0, "BAD")
-        joined = self.table("documents").join(self.table("labels"), "doc_id", "left")
+        joined = self.documents.join(self.table("labels"), "doc_id", "left")
         return joined.select(
             "doc_id",
             F.col("source").alias("session_id"),
@@ -619,7 +623,7 @@ def parse_session_start(t: Inputs) -> DataFrame:
 
 @_query
 def clean_text(t: Inputs) -> DataFrame:
-    return t.table("documents").select("doc_id", scalars.clean_text(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", scalars.clean_text(F.col("text")).alias("text"))
 
 
 @_query

@@ -17,6 +17,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "user
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # call sites of columns are only for debugging, and slow down building wide plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )

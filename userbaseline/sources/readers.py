@@ -21,6 +21,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a stored table out over the cores when it has fewer splits than cores.
+
+    For rows that are long work, such as texts. A table of cluster size has more splits than
+    cores and is left as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def jdbc_table(
     spark: SparkSession,
     url: str,
