@@ -130,9 +130,9 @@ def test_roles_both_ways(spark, dictionary, projects):
 
 
 def test_tenant_scope(spark, projects):
-    companies = spark.createDataFrame([(7, "Cmd"), (8, "Other")], "company_id long, company_name string")
+    companies = spark.createDataFrame([(7, "Acme"), (8, "Other")], "company_id long, company_name string")
     servers = spark.createDataFrame([(1, 1), (2, 2)], "server_id long, project_id long")
-    own = tenancy.company_projects(companies, projects)
+    own = tenancy.company_projects(companies, projects, ["Acme"])
     assert [r.server_id for r in tenancy.servers_of(servers, own).collect()] == [1]
 
 

@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_COMPANY = "Cmd"
-
 
 def company_projects(
-    companies: DataFrame, projects: DataFrame, names: Sequence[str] = (DEFAULT_COMPANY,)
+    companies: DataFrame, projects: DataFrame, names: Sequence[str]
 ) -> DataFrame:
     """The projects of the named companies."""
     named = companies.filter(F.col("company_name").isin(*names))
