@@ -112,7 +112,27 @@ def test_wrong_key_never_gives_the_text(spark, dictionary, projects):
 
 def test_damaged_bytes_give_null(spark):
     df = spark.createDataFrame([(bytearray(b"123"),)], "secret binary")
-    assert df.select(scalars.decrypt_text(F.col("secret"), F.lit(KEYS[1]))).first()[0] is None
+    key = scalars.aes_key(F.lit(KEYS[1]))
+    assert df.select(scalars.decrypt_text(F.col("secret"), key)).first()[0] is None
+
+
+def folded(key: bytes) -> bytes:
+    out = bytearray(16)
+    for i, byte in enumerate(key):
+        out[i % 16] ^= byte
+    return bytes(out)
+
+
+@pytest.mark.parametrize("length", [0, 1, 2, 15, 16, 17, 24, 32, 33, 48, 64])
+def test_keys_of_any_length_become_sixteen_bytes(spark, length):
+    key = bytes((i * 37 + 200) % 256 for i in range(length))
+    df = spark.createDataFrame([(key.hex(),)], "k string")
+    assert bytes(df.select(scalars.aes_key(F.col("k"))).first()[0]) == folded(key)
+
+
+def test_key_without_hex_digits(spark):
+    df = spark.createDataFrame([("no hex",), (None,)], "k string")
+    assert [r[0] for r in df.select(scalars.aes_key(F.col("k"))).collect()] == [None, None]
 
 
 def test_roles_both_ways(spark, dictionary, projects):

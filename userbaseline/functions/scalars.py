@@ -47,10 +47,27 @@ def trim_commas(text: Column) -> Column:
     return F.btrim(text, F.lit(","))
 
 
-def decrypt_text(value: Column, key_hex: Column) -> Column:
-    """AES-ECB bytes to text. Bad hex, a bad key length or damaged bytes give NULL."""
-    plain = F.try_aes_decrypt(value, F.unhex(key_hex), F.lit("ECB"), F.lit("PKCS"))
-    return plain.cast("string")
+def aes_key(key_hex: Column) -> Column:
+    """The 16-byte key that MySQL makes of a key of any length: pieces of 16 bytes, the last one
+    filled up with zeros, combined by exclusive or. Bad hex gives NULL."""
+    digits = F.hex(F.unhex(key_hex))
+    pieces = F.greatest(F.ceil(F.length(digits) / 32), F.lit(1)).cast("int")
+    padded = F.rpad(digits, pieces * 32, F.lit("0"))
+
+    def half(start: int) -> Column:
+        def fold(folded: Column, piece: Column) -> Column:
+            part = F.substring(padded, piece * 32 + start, F.lit(16))
+            return folded.bitwiseXOR(F.conv(part, 16, -10).cast("long"))
+
+        whole = F.aggregate(F.sequence(F.lit(0), pieces - 1), F.lit(0).cast("long"), fold)
+        return F.lpad(F.hex(whole), 16, "0")
+
+    return F.unhex(F.concat(half(1), half(17)))
+
+
+def decrypt_text(value: Column, key: Column) -> Column:
+    """AES-ECB bytes to text. A missing key or damaged bytes give NULL."""
+    return F.try_aes_decrypt(value, key, F.lit("ECB"), F.lit("PKCS")).cast("string")
 
 
 def clean_text(text: Column) -> Column:

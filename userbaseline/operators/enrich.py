@@ -93,11 +93,12 @@ def with_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
 
 def decode_dictionary(dictionary: DataFrame, projects: DataFrame, keys: DataFrame) -> DataFrame:
     """Decrypt each dictionary entry once, with the key of the company that owns the project."""
-    owners = projects.join(keys, "company_id").select("project_id", "company_key")
+    usable = keys.select("company_id", scalars.aes_key(F.col("company_key")).alias("aes_key"))
+    owners = projects.join(usable, "company_id").select("project_id", "aes_key")
     return dictionary.join(owners, "project_id").select(
         "project_id",
         "id",
-        scalars.decrypt_text(F.col("secret"), F.col("company_key")).alias("value"),
+        scalars.decrypt_text(F.col("secret"), F.col("aes_key")).alias("value"),
     )
 
 

@@ -57,6 +57,7 @@ def day_similarity(
 
     The sizes of the texts are looked at first (one number to the driver) to choose the plan.
     """
+    commands = commands.filter(F.col("user_id").isNotNull() & F.col("day").isNotNull())
     sizes = ct.text_sizes(commands, DAY)
     if ct.longest(sizes) <= inline_chars:
         return _inline(ct.short_texts(commands, DAY))

@@ -65,6 +65,11 @@ class Inputs:
     def labelled(self) -> DataFrame:
         return self.commands.withColumn("cmd_rep", event_log.rule_label(F.col("cmd_root")))
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The labelled commands as a table: several features read them, the log is joined once."""
+        return cut(self.labelled)
+
     @cached_property
     def companies(self) -> DataFrame:
         return tenants.companies(self.table("region"))
@@ -88,7 +93,7 @@ class Inputs:
     @cached_property
     def dictionary_values(self) -> DataFrame:
         return tenants.dictionary_values(
-            self.project_commands, self.table("supplier"), self.table("nation"), self.table("region")
+            self.project_commands, self.table("nation"), self.table("region")
         )
 
     @cached_property
@@ -124,7 +129,7 @@ class Inputs:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return behaviour.flag_matrix(self.sessions, self.labelled)
+        return behaviour.flag_matrix(self.sessions, self.stored)
 
     @cached_property
     def day_labels(self) -> DataFrame:
@@ -584,7 +589,7 @@ def flag_matrix(t: Inputs) -> DataFrame:
 def flag_matrix_frozen(t: Inputs) -> DataFrame:
     """As-coded variant: baselines of the first test day, the week as its last value alone."""
     return behaviour.flag_matrix(
-        t.sessions, t.labelled, anchor="frozen", week_mode="last", test_from=TEST_FROM
+        t.sessions, t.stored, anchor="frozen", week_mode="last", test_from=TEST_FROM
     )
 
 
@@ -595,7 +600,7 @@ def flag_matrix_opted_in(t: Inputs) -> DataFrame:
     allowed, commands = behaviour.opted_in(
         t.sessions, t.labelled, t.servers, t.projects, periods, tenants.AS_OF
     )
-    return behaviour.flag_matrix(allowed, commands)
+    return behaviour.flag_matrix(allowed, cut(commands))
 
 
 # --- scalar functions --------------------------------------------------------------------------
@@ -679,7 +684,8 @@ def command_reputation_join(t: Inputs) -> DataFrame:
 @_query
 def flag_matrix_modelled(t: Inputs) -> DataFrame:
     """The flag matrix with GOOD and BAD from the reputation forest."""
-    return behaviour.flag_matrix(t.sessions, behaviour.label_commands(t.commands, _early_commands(t)))
+    labelled = behaviour.label_commands(t.commands, _early_commands(t))
+    return behaviour.flag_matrix(t.sessions, cut(labelled.drop("probability")))
 
 
 def _rule_predictions(t: Inputs) -> DataFrame:

@@ -50,7 +50,7 @@ def users(customer: DataFrame) -> DataFrame:
 def opt_in(nation: DataFrame, overlapping: bool = False) -> DataFrame:
     """Opt-in periods; with ``overlapping`` some projects have a second, later-starting one."""
     project = F.col("n_nationkey").cast("long")
-    start = (F.lit(FIRST_DAY).cast("timestamp_ntz") + F.make_dt_interval(days=(project % 7).cast("int")))
+    start = F.lit(FIRST_DAY).cast("timestamp_ntz") + F.make_dt_interval(days=(project % 7).cast("int"))
     open_end = F.lit(None).cast("timestamp_ntz")
     end = F.when(project % 3 == 0, open_end).otherwise(
         start + F.make_dt_interval(days=F.lit(OPT_IN_DAYS))
@@ -104,7 +104,7 @@ def with_project(facts: DataFrame, servers_: DataFrame) -> DataFrame:
     )
 
 
-def dictionary_values(project_commands: DataFrame, supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+def dictionary_values(project_commands: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """The distinct values each project has used: (project_id, id, value)."""
     typed = project_commands.select(
         "project_id", F.explode(F.array("cmd", "cmd_root", "parameters")).alias("value")
