@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from userbaseline.session import cut, shared_dir
 from userbaseline.sources import event_log, readers
 from userbaseline.streaming import sessions as streaming
 
@@ -106,3 +107,38 @@ def test_jdbc_bounds_go_together(spark):
         readers.jdbc_table(spark, "jdbc:none:", "t", partition_column="id")
     with pytest.raises(ValueError):
         readers.jdbc_table(spark, "jdbc:none:", "t", partitions=4)
+
+
+class FakeSession:
+    """As much of a session as the choice of the shared folder looks at."""
+
+    def __init__(self, master, named=None):
+        self.master, self.named, self.set_to = master, named, None
+        self.sparkContext = self.conf = self
+
+    def getConf(self):
+        return self
+
+    def get(self, key, default=None):
+        return self.named if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return self.set_to
+
+    def setCheckpointDir(self, path):
+        self.set_to = path
+
+
+def test_shared_folder():
+    assert shared_dir(FakeSession("spark://host:7077", "hdfs://shared/c")) == "hdfs://shared/c"
+    assert shared_dir(FakeSession("local[2]", "/shared/c")) == "/shared/c"
+    assert "userbaseline-" in shared_dir(FakeSession("local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(FakeSession("spark://host:7077"))
+
+
+def test_a_cut_keeps_rows_and_schema(spark, events):
+    kept = cut(events)
+    assert kept.schema == events.schema
+    assert sorted(kept.collect()) == sorted(events.collect())
+    assert kept.inputFiles()[0].startswith(("file:", "/"))

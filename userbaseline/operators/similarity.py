@@ -113,7 +113,7 @@ def _blocked(commands: DataFrame, pairs: DataFrame, block_chars: int) -> DataFra
     batch_rows = spark.conf.get(_BATCH_ROWS)
     spark.conf.set(_BATCH_ROWS, max(1, _BATCH_CHARS // (2 * block_chars)))
     try:
-        n_diagonals = _sweep(grid, rows, columns, f"{path}/edges")
+        n_diagonals = _sweep(grid, rows, columns, block_chars, f"{path}/edges")
     finally:
         spark.conf.set(_BATCH_ROWS, batch_rows)
 
@@ -133,11 +133,19 @@ def _blocked(commands: DataFrame, pairs: DataFrame, block_chars: int) -> DataFra
     return compared.unionByName(apart)
 
 
-def _sweep(grid: DataFrame, rows: DataFrame, columns: DataFrame, path: str) -> int:
+def _sweep(
+    grid: DataFrame, rows: DataFrame, columns: DataFrame, block_chars: int, path: str
+) -> int:
     """Work through the anti-diagonals of all pairs; one table of edges for each."""
     spark = grid.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_diagonals = grid.agg(F.max(F.col("n_rows") + F.col("n_columns") - 1)).first()[0] or 0
+    size = grid.agg(
+        F.max(F.col("n_rows") + F.col("n_columns") - 1).alias("diagonals"),
+        F.sum(F.least("n_rows", "n_columns")).alias("widest"),
+    ).first()
+    n_diagonals = size.diagonals or 0
+    # a task's share is at least one rectangle of the usual size, however small the blocks are
+    shares = (size.widest or 0) * block_chars // ct.CHUNK_CHARS
+    partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shares))
     for d in range(n_diagonals):
         here = (
             grid.filter(F.col("n_rows") + F.col("n_columns") - 1 > d)

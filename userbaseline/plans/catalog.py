@@ -34,7 +34,7 @@ TEST_FROM = "2024-01-16"
 ANOMALY_FLAGS = 2
 DAY = ["user_id", "day"]
 # piece length with which the long-text paths are run over all days
-SMALL_CHUNK = 64
+SMALL_CHUNK = 90
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -450,7 +450,7 @@ def day_command_text(t: Inputs) -> DataFrame:
 
 @_query
 def day_command_chunks(t: Inputs) -> DataFrame:
-    """Day texts in pieces of 64 characters: the long-text path on every longer day."""
+    """Day texts in pieces of 90 characters: the long-text path on every longer day."""
     return command_text.command_text(t.commands, DAY, chunk_chars=SMALL_CHUNK)
 
 
@@ -461,7 +461,7 @@ def day_similarity(t: Inputs) -> DataFrame:
 
 @_query
 def day_similarity_blocks(t: Inputs) -> DataFrame:
-    """The block-wise comparison, for every pair with a text over 64 characters."""
+    """The block-wise comparison, for every pair with a text over 90 characters."""
     return similarity.day_similarity(t.commands, inline_chars=SMALL_CHUNK, block_chars=SMALL_CHUNK)
 
 
