@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from userbaseline.session import cut
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, FOLDED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,7 +66,8 @@ def drop_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) ->
     exploded = docs.select(*_named(row, "r"), F.posexplode(_lines(_text())).alias("pos", "line"))
     keyed = exploded.select("r1", "r2", "pos", line_key(F.col("line")).alias("key"))
     keyed = keyed.filter(F.char_length("key") >= min_chars).select("r1", "r2", "pos", *_named(_hashes(F.col("key")), "k"))
-    frequent = frequent_keys(docs, min_documents, min_chars)
+    # as a table of its own it meets the lines in a plain join, whose hot keys Spark can split
+    frequent = cut(frequent_keys(docs, min_documents, min_chars))
     gone = keyed.join(frequent, ["k1", "k2"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone"))
 
     packed = docs.select(F.struct("*").alias("doc"), *_named(row, "r"))
