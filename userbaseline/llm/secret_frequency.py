@@ -11,7 +11,7 @@ Method: the hash of each candidate's value is counted over the whole corpus by d
 ``copied_owners`` owners is a widely copied example; others are owner-specific and look live. Two
 further kinds, ``token`` (prefixed service tokens) and ``mixed`` (long strings of small letters, capitals
 and digits), are too weak to stand alone: their spans are added only where the value is
-owner-specific, holds no letter repeated throughout and no base span covers it.
+owner-specific and no span of an earlier kind covers them.
 
 Texts are scanned once; what is shuffled is candidates, by the hash of their value, after distinct
 (value, owner) pairs are made in the map tasks. Null or empty texts have no candidates. A null owner
@@ -107,10 +107,10 @@ def secret_spans(
     met = met.select("doc_id", "all", F.filter("all", lambda s: s.kind < len(BASE)).alias("base"))
 
     def added(s: Column) -> Column:
-        covered = F.exists("base", lambda b: (b.start <= s.start) & (s.end <= b.end))
+        covered = F.exists("all", lambda b: (b.kind < s.kind) & (b.start <= s.start) & (s.end <= b.end))
         return (s.kind < len(BASE)) | ((s.owners < copied_owners) & ~covered)
 
-    met = met.select("doc_id", "base", F.filter("all", added).alias("spans"))
+    met = met.select("doc_id", "all", "base", F.filter("all", added).alias("spans"))
     count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
     return met.select(
         "doc_id",
