@@ -11,8 +11,11 @@ principle two linked sketches agree in ``m - d`` segments.
 together; ``m`` is twice (d + 1) of the band. Segments are put in a common order, segments of frequent
 shingles last and empty ones at the very end, and each sketch is joined on its first ``d + 1``:
 two lists that agree in m - d of m elements meet there. Frequent shingles are counted over all
-documents by bounded counters; they decide the order only, never the result. Colliding sketches
-are verified on the exact sets (`links.linked_components`).
+documents by bounded counters; they decide the order only, never the result.
+
+Pairs that collide are first compared by a bit sketch of two to four bits per element, into which each
+shingle flips one bit: its Hamming distance is at most the symmetric difference, so a larger one
+rules the pair out. The rest is verified on the exact sets (`links.linked_components`).
 
 Nulls and texts without words have an empty set and link with nothing. Equal sets are one class, so
 groups of copies cost as much as one text per task. A repeated row is a document of its own; a null
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from userbaseline.llm import wordhash as wh
-from userbaseline.llm.links import broadcast_if_small, linked_components
+from userbaseline.llm.links import bit_sketches, broadcast_if_small, linked_components
 from userbaseline.session import cut, ship
 
 #: shingles whose frequency enters the order of segments: at most this many, the most frequent ones
@@ -58,7 +61,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def _digest_rows(k: int):
-    schema = "doc_id long, n long, c1 long, c2 long, frequent long, times long"
+    schema = "doc_id long, n long, c1 long, c2 long, sketch array<long>, frequent long, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = wh.Tally()
@@ -67,16 +70,23 @@ def _digest_rows(k: int):
         def told(value, times):
             n = len(value)
             return pa.RecordBatch.from_arrays(
-                [none(n), none(n), none(n), none(n), wh.signed(value), pa.array(times.astype(np.int64))], names
+                [none(n), none(n), none(n), none(n), pa.nulls(n, pa.list_(pa.int64())), wh.signed(value),
+                 pa.array(times.astype(np.int64))], names
             )
 
-        names = ["doc_id", "n", "c1", "c2", "frequent", "times"]
+        names = ["doc_id", "n", "c1", "c2", "sketch", "frequent", "times"]
+        seen: set[int] = set()
         for ids, found, owner in _sets(batches, k):
             units = len(ids)
             one, two = wh.set_digests(found, owner, units)
             n = np.bincount(owner, minlength=units).astype(np.int64)
+            fresh = _first_seen(one, n, seen)
+            chosen = fresh[owner]
+            words, ends = bit_sketches(found[chosen], owner[chosen], np.where(fresh, n, 0))
+            sketch = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), wh.signed(words))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n), wh.signed(one), wh.signed(two), none(units), none(units)], names
+                [ids.cast(pa.int64()), pa.array(n), wh.signed(one), wh.signed(two), sketch, none(units), none(units)],
+                names,
             )
             for value, times in tally.add(found):
                 yield told(value, times)
@@ -85,6 +95,17 @@ def _digest_rows(k: int):
     return run, schema
 
 
+def _first_seen(digest: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which units hold a set that the task has not met before."""
+    fresh = np.zeros(len(n), bool)
+    for u in np.flatnonzero(n):
+        c = int(digest[u])
+        if c not in seen:
+            seen.add(c)
+            fresh[u] = True
+    return fresh
+
+
 def sketch_keys(
     found: np.ndarray, owner: np.ndarray, units: int, rank: np.ndarray, share: int, whole: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -139,13 +160,7 @@ def _bucket_rows(k: int, frequent, share: int, whole: int):
             one, _ = wh.set_digests(found, owner, units)
             n = np.bincount(owner, minlength=units).astype(np.int64)
             # copies of a set give their keys once in a task
-            fresh = np.zeros(units, bool)
-            for u in np.flatnonzero(n):
-                c = int(one[u])
-                if c not in seen:
-                    seen.add(c)
-                    fresh[u] = True
-            chosen = fresh[owner]
+            chosen = _first_seen(one, n, seen)[owner]
             found, owner = found[chosen], owner[chosen]
             rank = np.zeros(len(found), np.int64)
             if len(known):
@@ -201,7 +216,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, share: int = 75, whole: int
         wanted = docs.join(ids, docs.doc_id.eqNullSafe(ids.first_id), "left_semi")
         return wanted.mapInArrow(*_set_rows(k))
 
-    labels = linked_components(docs.mapInArrow(*_bucket_rows(k, frequent, share, whole)), sets_of, share, whole)
+    buckets = docs.mapInArrow(*_bucket_rows(k, frequent, share, whole))
+    sketches = made.filter(F.size("sketch") > 0).select(F.col("c1").alias("node"), "sketch")
+    labels = linked_components(buckets, sketches, sets_of, share, whole)
     grouped = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     class_of = cut(grouped.join(named, "root").select("node", "c2", "component_id", "n_copies"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from userbaseline.llm import wordhash as wh
-from userbaseline.llm.links import broadcast_if_small, linked_components
+from userbaseline.llm.links import bit_sketches, broadcast_if_small, linked_components
 from userbaseline.session import cut, ship
 
 BANDS, ROWS = 20, 4
@@ -66,7 +66,7 @@ def minhash_bands(found: np.ndarray, owner: np.ndarray, units: int) -> np.ndarra
 
 
 def _occurrences(min_words: int):
-    schema = "doc_id long, paragraph long, n_words long, n long, c1 long, c2 long, bands array<long>"
+    schema = "doc_id long, paragraph long, n_words long, n long, c1 long, c2 long, bands array<long>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -85,17 +85,20 @@ def _occurrences(min_words: int):
             few = int(fresh.sum())
             bands = minhash_bands(found[chosen], place[owner[chosen]], few) if few else np.zeros((0, BANDS), np.uint64)
             ends = np.append(0, np.cumsum(fresh) * BANDS).astype(np.int32)
+            size = np.bincount(owner, minlength=units).astype(np.int64)
+            parity, bounds = bit_sketches(found[chosen], owner[chosen], np.where(fresh, size, 0))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(doc)).cast(pa.int64()),
                     pa.array(number.astype(np.int64)),
                     pa.array(held.astype(np.int64)),
-                    pa.array(np.bincount(owner, minlength=units).astype(np.int64)),
+                    pa.array(size),
                     wh.signed(one),
                     wh.signed(two),
                     pa.ListArray.from_arrays(pa.array(ends), wh.signed(bands.ravel())),
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), wh.signed(parity)),
                 ],
-                ["doc_id", "paragraph", "n_words", "n", "c1", "c2", "bands"],
+                ["doc_id", "paragraph", "n_words", "n", "c1", "c2", "bands", "sketch"],
             )
 
     return run, schema
@@ -129,7 +132,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, share: int
         wanted = docs.join(ids, docs.doc_id.eqNullSafe(ids.first_id), "left_semi")
         return wanted.mapInArrow(*_set_rows(min_words))
 
-    labels = linked_components(buckets, sets_of, share)
+    sketches = found.filter(F.size("sketch") > 0).select(F.col("c1").alias("node"), "sketch")
+    labels = linked_components(buckets, sketches, sets_of, share)
     # equal sets are one class whether or not they link with another
     placed = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
     classes = found.groupBy(F.col("c1").alias("node")).agg(F.min(placed).alias("first"), F.count("*").alias("k"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text hashed at a time; a longer text is one slice of its own
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 20
 
 #: kinds of bytes: words are runs of one kind, kind 0 stands between words
