@@ -21,22 +21,52 @@ def day_from_stamp(stamp: Column) -> Column:
     return F.try_to_date(day_text(stamp), "yyyyMMdd")
 
 
+def _start(stamp: Column, time_created: Column, second: Column) -> Column:
+    """The start built from its parts: no zoned timestamp in between, so no zone can shift it."""
+    part = lambda at, n: F.substring(stamp, at, n).try_cast("int")
+    parts = [part(1, 4), part(5, 2), part(7, 2), part(9, 2), F.minute(time_created)]
+    built = F.try_make_timestamp_ntz(*parts, second)
+    return F.when(stamp.rlike("^[0-9]{10}$"), built)
+
+
 def session_start(stamp: Column, time_created: Column) -> Column:
     """Start to the second: the hour from ``stamp``, minute and second from ``time_created``."""
-    text = F.concat_ws(" ", stamp, F.minute(time_created), F.second(time_created))
-    whole = stamp.isNotNull() & time_created.isNotNull()
-    parsed = F.try_to_timestamp(text, F.lit("yyyyMMddHH m s"))
-    return F.when(whole, parsed).cast("timestamp_ntz")
+    return _start(stamp, time_created, F.second(time_created).cast("decimal(16,6)"))
 
 
 def session_start_minute(stamp: Column, time_created: Column) -> Column:
     """Start truncated to the minute, the precision at which opt-in periods are tested."""
-    return F.date_trunc("minute", session_start(stamp, time_created)).cast("timestamp_ntz")
+    zero = F.when(time_created.isNotNull(), F.lit(0).cast("decimal(16,6)"))
+    return _start(stamp, time_created, zero)
+
+
+def _interval_seconds(interval: Column) -> Column:
+    """A day-time interval as exact seconds with six decimals."""
+    part = lambda name: F.extract(F.lit(name), interval).cast("decimal(38,6)")
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """Whole seconds from start to end: signed, truncated towards zero, NULL if either is."""
-    return F.timestamp_diff("SECOND", start, end)
+    """Whole seconds from start to end: signed, truncated towards zero, NULL if either is.
+
+    Both are times without a zone; their difference is that of the clock readings.
+    """
+    return _interval_seconds(end - start).cast("long")
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def as_instant(clock: Column) -> Column:
+    """A time without a zone as the instant with that reading in UTC, whatever the session's zone."""
+    return F.timestamp_micros((_interval_seconds(clock - _epoch()) * 1_000_000).cast("long"))
+
+
+def as_clock(instant: Column) -> Column:
+    """The inverse of :func:`as_instant`."""
+    micros = F.unix_micros(instant)
+    return _epoch() + F.make_dt_interval(secs=(micros.cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)"))
 
 
 def blank_if_null(text: Column) -> Column:

@@ -144,9 +144,10 @@ def with_roles_unpivoted(
     ]
     narrow = facts.select(key, "project_id", F.inline(F.array(*entries)))
     found = narrow.join(dictionary, ["project_id", "id"], "left")
-    wide = found.groupBy(key, "project_id").agg(
-        *[F.max(F.when(F.col("role") == name, F.col("value"))).alias(name) for name in roles]
-    )
+    # at most one entry per role and row, put together by hashing instead of sorting
+    entry = F.when(F.col("value").isNotNull(), F.struct("role", "value"))
+    read = found.groupBy(key, "project_id").agg(F.map_from_entries(F.collect_list(entry)).alias("read"))
+    wide = read.select(key, "project_id", *[F.try_element_at("read", F.lit(name)).alias(name) for name in roles])
     return wide.select(key, "project_id", *[_readable(name, blanks) for name in roles])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from userbaseline.models import forests
 from userbaseline.operators import enrich, features, rules, similarity, tenancy
+from userbaseline.sources import readers
 
 
 def opted_in(
@@ -17,9 +18,9 @@ def opted_in(
     periods: DataFrame,
     as_of: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The sessions that may be analysed, and the commands typed in them."""
+    """The sessions that may be analysed, and the commands typed in them. Stops when there is none."""
     placed = enrich.with_project(enrich.with_server(sessions, servers), projects)
-    allowed = enrich.in_opt_in(placed, periods, as_of)
+    allowed = readers.require_rows(enrich.in_opt_in(placed, periods, as_of), "sessions inside an opt-in period")
     return allowed, tenancy.commands_of_sessions(commands, allowed)
 
 

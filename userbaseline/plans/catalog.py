@@ -32,6 +32,8 @@ from userbaseline.streaming import sessions as streaming
 
 TEST_FROM = "2024-01-16"
 ANOMALY_FLAGS = 2
+# sessions made of such events alone have no command in the *_silent_sessions queries
+SILENT = ("view", "click", "signup")
 DAY = ["user_id", "day"]
 # piece length with which the long-text paths are run over all days
 SMALL_CHUNK = 90
@@ -201,8 +203,14 @@ def tenant_scope_lookup(t: Inputs) -> DataFrame:
 
 @_query
 def tenant_partition_filter(t: Inputs) -> DataFrame:
+    """Of a table in folders by project, only the folders of one company's projects are read."""
+    path = scratch_path(t.spark, "sessions-by-project")
+    t.placed_sessions.select("session_id", "user_id", "project_id").write.partitionBy("project_id").parquet(path)
+    schema = "session_id long, user_id long, project_id long"
+    stored = t.spark.read.schema(schema).parquet(path)
     projects = tenancy.company_projects(t.companies, t.projects, ["AFRICA"])
-    rows = tenancy.rows_of_projects(t.placed_sessions, projects)
+    # the projects of a company are few; as literals they choose folders before the scan
+    rows = tenancy.project_rows(stored, [r.project_id for r in projects.select("project_id").collect()])
     return rows.select("session_id", "project_id", "user_id")
 
 
@@ -531,8 +539,15 @@ def baseline_frozen(t: Inputs) -> DataFrame:
 # --- rules -------------------------------------------------------------------------------------
 
 
-def _flagged(series: DataFrame, feature: str) -> DataFrame:
-    compared = baselines.with_baselines(series, [feature])
+def _on_spine(t: Inputs, series: DataFrame, feature: str) -> DataFrame:
+    """The feature on all days with a session, NULL where it has no value: days count by sessions."""
+    if feature == "sessions_per_day":
+        return series
+    return t.sessions_per_day.select(*DAY).join(series.select(*DAY, feature), DAY, "left")
+
+
+def _flagged(t: Inputs, series: DataFrame, feature: str) -> DataFrame:
+    compared = baselines.with_baselines(_on_spine(t, series, feature), [feature])
     return compared.select(
         *DAY, F.col(feature).alias("feature_value"), rules.flag_of(feature).alias("flag"),
         F.col(f"{feature}_ok").alias("baseline_ok"),
@@ -541,38 +556,39 @@ def _flagged(series: DataFrame, feature: str) -> DataFrame:
 
 @_query
 def flag_sessions(t: Inputs) -> DataFrame:
-    return _flagged(t.sessions_per_day, "sessions_per_day")
+    return _flagged(t, t.sessions_per_day, "sessions_per_day")
 
 
 @_query
 def flag_commands(t: Inputs) -> DataFrame:
-    return _flagged(features.mean_commands_per_day(t.sessions, t.commands), "cmd_per_day")
+    return _flagged(t, features.mean_commands_per_day(t.sessions, t.commands), "cmd_per_day")
 
 
 @_query
 def flag_duration(t: Inputs) -> DataFrame:
-    return _flagged(features.mean_duration_per_day(t.sessions), "sess_dur")
+    return _flagged(t, features.mean_duration_per_day(t.sessions), "sess_dur")
 
 
 @_query
 def flag_good(t: Inputs) -> DataFrame:
-    return _flagged(features.reputation_share_per_day(t.sessions, t.labelled), "good_cmd")
+    return _flagged(t, features.reputation_share_per_day(t.sessions, t.labelled), "good_cmd")
 
 
 @_query
 def flag_bad(t: Inputs) -> DataFrame:
-    return _flagged(features.reputation_share_per_day(t.sessions, t.labelled), "bad_cmd")
+    return _flagged(t, features.reputation_share_per_day(t.sessions, t.labelled), "bad_cmd")
 
 
 @_query
 def flag_match(t: Inputs) -> DataFrame:
-    return _flagged(similarity.day_similarity(t.commands), "five_cmd_match")
+    return _flagged(t, similarity.day_similarity(t.commands), "five_cmd_match")
 
 
 @_query
 def flag_no_prev_day(t: Inputs) -> DataFrame:
     """Flags on durations, with days whose previous value is 0 or missing marked."""
-    compared = baselines.with_baselines(features.mean_duration_per_day(t.sessions), ["sess_dur"])
+    series = _on_spine(t, features.mean_duration_per_day(t.sessions), "sess_dur")
+    compared = baselines.with_baselines(series, ["sess_dur"])
     prev = F.col("sess_dur_prev")
     return compared.select(
         *DAY, prev.alias("prev_value"), (prev.isNull() | (prev == 0)).alias("week_and_month_only"),
@@ -585,6 +601,26 @@ def flag_matrix(t: Inputs) -> DataFrame:
     return t.flags
 
 
+def _some_silent(t: Inputs) -> DataFrame:
+    return t.labelled.filter(~F.col("cmd_root").isin(*SILENT))
+
+
+@_query
+def flag_commands_silent_sessions(t: Inputs) -> DataFrame:
+    """Some sessions have no command: their days count, without a value."""
+    return _flagged(t, features.mean_commands_per_day(t.sessions, _some_silent(t)), "cmd_per_day")
+
+
+@_query
+def flag_bad_silent_sessions(t: Inputs) -> DataFrame:
+    return _flagged(t, features.reputation_share_per_day(t.sessions, _some_silent(t)), "bad_cmd")
+
+
+@_query
+def flag_matrix_silent_sessions(t: Inputs) -> DataFrame:
+    return behaviour.flag_matrix(t.sessions, cut(_some_silent(t)))
+
+
 @_query
 def flag_matrix_frozen(t: Inputs) -> DataFrame:
     """As-coded variant: baselines of the first test day, the week as its last value alone."""

@@ -6,12 +6,12 @@ similarity on whole texts.
 
 from __future__ import annotations
 
-from userbaseline.plans.catalog import ANOMALY_FLAGS, SMALL_CHUNK, TEST_FROM
+from userbaseline.plans.catalog import SILENT, SMALL_CHUNK, TEST_FROM
 from userbaseline.sources.tenants import AS_OF, FIRST_DAY, LOST_KEY_COMPANY, OPT_IN_DAYS
 
 
 def _id(value: str) -> str:
-    return f"CAST('0x' || substr(md5({value}), 1, 15) AS BIGINT)"
+    return f"md5({value})"
 
 
 def _day(column: str = "dy") -> str:
@@ -280,7 +280,13 @@ def _flag(feature: str, v="v", prev="prev_v", week="week_v", month="month_v") ->
 _OK = "(v IS NOT NULL AND week_v IS NOT NULL AND month_v IS NOT NULL)"
 
 for _feature, _series in _SERIES.items():
-    _baseline(_feature, _series)
+    # every feature is compared over the days with a session, also those on which it has no value
+    _cte(
+        f"x_{_feature}",
+        f"SELECT z.user_id, z.dy, t.v FROM s_sessions z LEFT JOIN {_series} t ON t.user_id = z.user_id AND t.dy = z.dy",
+        *dict.fromkeys(("s_sessions", _series)),
+    )
+    _baseline(_feature, f"x_{_feature}")
 
 # the as-coded variant: the first test day's baselines serve all test days, week = day before
 for _feature in _SERIES:
@@ -333,6 +339,10 @@ _OPTED_IN = {
 }
 
 
+# commands of which whole sessions are missing
+_SOME_SILENT = {"cmds": (("all_cmds",), f"SELECT * FROM all_cmds WHERE cmd_root NOT IN {SILENT}")}
+
+
 def oracle_sql() -> dict[str, str]:
     d, dz = _day(), _day("z.dy")
     q: dict[str, str] = {}
@@ -537,6 +547,13 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT user_id, {d} AS day, {value} AS feature_value, {_flag(f)} AS flag, {_OK} AS baseline_ok FROM b_{f}",
             f"b_{f}",
         )
+    for name in ("flag_commands", "flag_bad"):
+        f = single[name]
+        q[f"{name}_silent_sessions"] = _with(
+            f"SELECT user_id, {d} AS day, round(v, 6) AS feature_value, {_flag(f)} AS flag, {_OK} AS baseline_ok FROM b_{f}",
+            f"b_{f}",
+            replaced=_SOME_SILENT,
+        )
     q["flag_no_prev_day"] = _with(
         f"""SELECT user_id, {d} AS day, round(prev_v, 6) AS prev_value, (prev_v IS NULL OR prev_v = 0) AS week_and_month_only,
         {_flag("sess_dur")} AS flag FROM b_sess_dur""",
@@ -545,6 +562,7 @@ def oracle_sql() -> dict[str, str]:
     sql, needs = _matrix("b", "week_v")
     q["flag_matrix"] = _with(sql, *needs)
     q["flag_matrix_modelled"] = q["flag_matrix"]
+    q["flag_matrix_silent_sessions"] = _with(sql, *needs, replaced=_SOME_SILENT)
     q["flag_matrix_opted_in"] = _with(sql, *needs, replaced=_OPTED_IN)
     sql, needs = _matrix("f", "last_v")
     q["flag_matrix_frozen"] = _with(sql, *needs)

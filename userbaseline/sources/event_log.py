@@ -4,6 +4,9 @@ Events of one user belong to one session until a gap of ``SESSION_GAP_HOURS`` or
 is first reduced to one row per user and clock interval no longer than the gap: two events in
 one interval can never be split, so session borders follow from the reduced rows alone. A user
 with any number of events thus needs a few rows per day in the window, never all events.
+
+Events without a user keep their rows: they form sessions and commands of the user NULL. What is
+joined by user (features of a day, flags) leaves NULL users out.
 """
 
 from __future__ import annotations
@@ -97,13 +100,15 @@ def commands(events: DataFrame, gap_hours: int = SESSION_GAP_HOURS) -> DataFrame
         F.min("first_id").over(of_session).alias("session_id"),
         F.to_date(F.min("first_ts").over(of_session)).alias("day"),
     )
+    typed = events.withColumn("slot", _slot(F.col("ts"), _interval_hours(gap_hours))).alias("e")
+    # events without a user form sessions too, so they have to find theirs
+    same = F.col("e.user_id").eqNullSafe(F.col("s.user_id")) & (F.col("e.slot") == F.col("s.slot"))
     return (
-        events.withColumn("slot", _slot(F.col("ts"), _interval_hours(gap_hours)))
-        .join(slots, ["user_id", "slot"])
+        typed.join(slots.alias("s"), same)
         .select(
             F.col("event_id").alias("cmd_id"),
             "session_id",
-            "user_id",
+            "e.user_id",
             "ts",
             "day",
             command_text(F.col("event_type"), F.col("props")).alias("cmd"),
@@ -123,5 +128,6 @@ def rule_label(cmd_root: Column) -> Column:
 
 
 def dictionary_id(value: Column) -> Column:
-    """A 60-bit id that depends on the value alone, so no global numbering is needed."""
-    return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
+    """An id that depends on the value alone, so no global numbering is needed: its whole digest,
+    since shorter ones meet by chance among 10⁹ values of a project."""
+    return F.md5(value)

@@ -135,6 +135,6 @@ def command_refs(project_commands: DataFrame) -> DataFrame:
         dictionary_id(root).alias("cmd_root_ref"),
         dictionary_id(F.col("parameters")).alias("parameters_ref"),
         F.when(root == "click", dictionary_id(F.col("parameters"))).alias("cwd_ref"),
-        F.when(root == "error", F.lit(-1)).otherwise(dictionary_id(root)).alias("exec_path_ref"),
+        F.when(root == "error", F.lit("-1")).otherwise(dictionary_id(root)).alias("exec_path_ref"),
         dictionary_id(F.col("cmd")).alias("binary_hash_ref"),
     )

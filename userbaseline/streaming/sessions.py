@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from userbaseline.functions import scalars
 from userbaseline.session import scratch_path
 from userbaseline.sources.event_log import SESSION_GAP_HOURS
 
@@ -12,6 +13,7 @@ EVENTS = (
     "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 )
 LATENESS = "1 day"
+MERGE_FIRST = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def event_stream(spark: SparkSession, folder: str, files: str = "events*.parquet") -> DataFrame:
@@ -29,24 +31,33 @@ def closed_sessions(
     """
     gap = f"{gap_hours * 3600 - 1} seconds 999999 microseconds"
     return (
-        events.select("user_id", F.col("ts").cast("timestamp").alias("at"))
+        events.select("user_id", scalars.as_instant(F.col("ts")).alias("at"))
         .withWatermark("at", lateness)
         .groupBy("user_id", F.session_window("at", gap).alias("w"))
         .agg(F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n_commands"))
         .select(
             "user_id",
-            F.col("w.start").cast("timestamp_ntz").alias("start_ts"),
-            F.col("last_at").cast("timestamp_ntz").alias("last_ts"),
+            scalars.as_clock(F.col("w.start")).alias("start_ts"),
+            scalars.as_clock(F.col("last_at")).alias("last_ts"),
             "n_commands",
         )
     )
 
 
 def run_available(sessions: DataFrame, out: str, state: str) -> DataFrame:
-    """Process what is there, append closed sessions to ``out`` and read them back."""
+    """Process what is there, append closed sessions to ``out`` and read them back.
+
+    Sessions are merged inside the map tasks first, so a user with most of the events sends a few
+    rows per task; the setting is put back once the query holds it.
+    """
     spark = sessions.sparkSession
+    merging = spark.conf.get(MERGE_FIRST)
+    spark.conf.set(MERGE_FIRST, "true")
     writer = sessions.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-    query = writer.option("path", out).option("checkpointLocation", state).start()
+    try:
+        query = writer.option("path", out).option("checkpointLocation", state).start()
+    finally:
+        spark.conf.set(MERGE_FIRST, merging)
     query.awaitTermination()
     return spark.read.schema(sessions.schema).parquet(out)
 
