@@ -96,7 +96,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     met = docs.select(*row_key(), "doc_id", "text").join(hits, ["r1", "r2"]).join(items.withColumnRenamed("t", "u"), "item")
     met = met.select("r1", "r2", "doc_id", "item_id", "offset", "u", tokens(F.col("text")).alias("t"))
-    same = F.transform("u", lambda x, j: F.when(_token_at(F.col("offset") + j) == x, 1).otherwise(0))
+    # the two stretches that lie upon each other, cut out before they are compared token by token
+    skip, size = F.greatest(-F.col("offset"), F.lit(0)), F.size("u")
+    ours = F.slice("t", F.greatest(F.col("offset"), F.lit(0)) + 1, size - skip)
+    same = F.zip_with(F.slice("u", skip + 1, size), ours, lambda x, y: F.when(x == y, 1).otherwise(0))
     matched = F.aggregate(same, F.lit(0), lambda a, b: a + b)
     met = met.select("r1", "r2", "doc_id", "item_id", "offset", F.size("u").alias("n"), matched.alias("m"))
     need = F.least(F.lit(MATCHED), F.ceil(F.col("n") * SHARE / 100))
@@ -111,10 +114,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _token_at(at: Column) -> Column:
-    return F.when(at >= 0, F.get("t", at))
-
-
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; all their columns stay."""
     found = contaminated(docs, benchmark).select("r1", "r2").distinct()
