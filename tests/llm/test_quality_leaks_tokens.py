@@ -214,10 +214,9 @@ def known():
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="aeiouth ñé'1\n", max_size=120), st.text(alphabet="ab", max_size=80)))
 def test_same_ids(known, text):
     codec, library = known
-    ids, shown = codec.encode(text)
-    assert ids == library.encode_ordinary(text)
-    assert shown == ",".join(map(str, ids))
-    assert codec.decode(ids) == text
+    ids = library.encode_ordinary(text)
+    assert codec.encode(text) == ",".join(map(str, ids))
+    assert codec.decode(ids) == text == codec.decode(map(str, ids))
 
 
 def test_every_kind_of_character(known):
@@ -225,7 +224,7 @@ def test_every_kind_of_character(known):
     every = [chr(c) for c in [*range(0x3000), *range(0x3000, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
     for at in range(0, len(every), 50):
         text = "".join(f"a{c} {c}{c}  b" for c in every[at : at + 50])
-        assert codec.encode(text)[0] == library.encode_ordinary(text)
+        assert codec.encode(text) == ",".join(map(str, library.encode_ordinary(text)))
 
 
 def test_long_runs_and_small_tables(known, monkeypatch):
@@ -235,17 +234,17 @@ def test_long_runs_and_small_tables(known, monkeypatch):
     for name, size in (("TRANSITIONS", 50), ("PIECES", 20), ("PAIRS", 20)):
         monkeypatch.setattr(byte_bpe, name, size)
     for text in texts:
-        ids, _ = codec.encode(text)
-        assert ids == library.encode_ordinary(text) and codec.decode(ids) == text
+        ids = library.encode_ordinary(text)
+        assert codec.encode(text) == ",".join(map(str, ids)) and codec.decode(ids) == text
 
 
 def test_lookahead_is_bounded(known):
     """Tokens leave the transducer while it reads; what is held back does not grow."""
     codec, _ = known
-    state, held = codec.encoder.start, []
+    table, held = codec.encoder.start.next, []
     for byte in (" the" + "therehaou" * 300).encode():
-        state, _ = state.next.get(byte) or codec.encoder.step(state, byte)
-        held.append(len(state.held))
+        table, _ = table.get(byte) or codec.encoder.step(table[-1], byte)
+        held.append(len(table[-1].held))
     assert max(held) < 64
 
 

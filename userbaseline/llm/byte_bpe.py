@@ -20,9 +20,9 @@ sent with the job.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from userbaseline.session import ship
 
 #: entries of the tables that are filled while running; pieces are kept in two halves, the older goes first
-TRANSITIONS, PIECES, PAIRS = 400_000, 120_000, 200_000
+TRANSITIONS, PIECES, PAIRS = 900_000, 400_000, 400_000
 #: white space as Unicode has it, wherever a pattern says \s
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -111,7 +111,8 @@ class State:
 
     def __init__(self, held: bytes, last: tuple, begin: tuple, open_: tuple):
         self.held, self.last, self.begin, self.open = held, last, begin, open_
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
+        #: by byte, the same table of the next state and the tokens emitted; -1 is the state itself
+        self.next: dict = {-1: self}
 
     def way(self, at: int) -> tuple[int, ...]:
         """The tokens from the settled one up to place ``at``."""
@@ -134,7 +135,7 @@ class Encoder:
         self.states: dict[tuple, State] = {}
         self.transitions = 0
 
-    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+    def step(self, state: State, byte: int) -> tuple[dict, tuple[int, ...]]:
         v, held = self.v, state.held + bytes((byte,))
         last, begin, place = state.last, state.begin, len(held)
         open_, found = [], None
@@ -170,7 +171,7 @@ class Encoder:
             to = self.states[key] = State(key[1], last[keep:], shifted, tuple(j - keep for j in open_))
         emitted = State(held, last, begin, ()).way(keep) if keep else ()
         self.transitions += 1
-        result = state.next[byte] = (to, emitted)
+        result = state.next[byte] = (to.next, emitted)
         return result
 
     def piece(self, data: bytes) -> tuple[int, ...]:
@@ -178,15 +179,16 @@ class Encoder:
             return (whole,)
         if self.transitions >= TRANSITIONS:
             self._clear()
-        state, out = self.start, []
+        table, out = self.start.next, []
         for byte in data:
-            found = state.next.get(byte)
-            if found is None:
-                found = self.step(state, byte)
-            state, emitted = found
+            try:
+                table, emitted = table[byte]
+            except KeyError:
+                table, emitted = self.step(table[-1], byte)
             if emitted:
-                out.extend(emitted)
-        out.extend(state.way(len(state.held)))
+                out += emitted
+        state = table[-1]
+        out += state.way(len(state.held))
         return tuple(out)
 
 
@@ -227,27 +229,27 @@ def utf8_steps(started: bytes, data: bytes) -> tuple[str, bytes]:
 
 
 class Decoder:
-    """Streaming decoding: `feed` ids as they come, `finish` at the end."""
+    """Streaming decoding: `feed` ids (numbers, or their decimal texts) as they come, `finish` at the end."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[int, tuple[str, bytes]] = {}
-        self.later: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        self.known: dict[int | str, tuple[str, bytes]] = {}
+        self.later: dict[tuple[bytes, int | str], tuple[str, bytes]] = {}
         self.started = b""
 
-    def feed(self, ids: Iterable[int]) -> list[str]:
+    def feed(self, ids: Iterable[int | str]) -> list[str]:
         out, started, known = [], self.started, self.known
         for i in ids:
             if not started:
                 found = known.get(i)
                 if found is None:
-                    found = known[i] = utf8_steps(b"", self.v.token[i])
+                    found = known[i] = utf8_steps(b"", self.v.token[int(i)])
             else:
                 found = self.later.get((started, i))
                 if found is None:
                     if len(self.later) >= PAIRS:
                         self.later.clear()
-                    found = self.later[started, i] = utf8_steps(started, self.v.token[i])
+                    found = self.later[started, i] = utf8_steps(started, self.v.token[int(i)])
             text, started = found
             out.append(text)
         self.started = started
@@ -258,35 +260,44 @@ class Decoder:
         return rest
 
 
-class Codec:
-    """Encoder and decoder of one rank file and pattern, with a table of pieces met before."""
+class Pieces(dict):
+    """The ids, in decimal joined by commas, of pieces met before; a missing piece is encoded and kept
+    if it is short."""
 
-    def __init__(self, rank_lines: bytes, pattern: str):
-        vocabulary = Vocabulary(rank_lines)
-        self.encoder, self.decoder = Encoder(vocabulary), Decoder(vocabulary)
-        spelled = pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
-        self.pieces = regex.compile(spelled).findall
-        self.met: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        self.older: dict[str, str] = {}
+        self.shown = {i: str(i) for i in encoder.v.token}
 
-    def new_piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        if len(self.met) >= PIECES:
-            self.met, self.older = {}, self.met
+    def __missing__(self, piece: str) -> str:
+        if len(self) >= PIECES:
+            self.older = dict(self)
+            self.clear()
         found = self.older.get(piece)
         if found is None:
-            ids = self.encoder.piece(piece.encode())
-            found = ids, ",".join(map(str, ids))
+            shown = self.shown
+            found = ",".join([shown[i] for i in self.encoder.piece(piece.encode())])
         if len(piece) <= 64:
-            self.met[piece] = found
+            self[piece] = found
         return found
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the same in decimal joined by commas."""
-        met, new = self.met, self.new_piece
-        found = [met.get(p) or new(p) for p in self.pieces(text)]
-        return list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
 
-    def decode(self, ids: Iterable[int]) -> str:
+class Codec:
+    """Encoder and decoder of one rank file and pattern."""
+
+    def __init__(self, rank_lines: bytes, pattern: str):
+        vocabulary = Vocabulary(rank_lines)
+        self.encoder, self.decoder = Encoder(vocabulary), Decoder(vocabulary)
+        spelled = pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
+        self.split = regex.compile(spelled).findall
+        self.met = Pieces(self.encoder)
+
+    def encode(self, text: str) -> str:
+        """The ids in decimal, joined by commas."""
+        met = self.met
+        return ",".join([met[p] for p in self.split(text)])
+
+    def decode(self, ids: Iterable[int | str]) -> str:
         return "".join(self.decoder.feed(ids)) + self.decoder.finish()
 
 
@@ -299,6 +310,7 @@ def _codec(rank_lines: bytes, pattern: str) -> Codec:
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(rank_lines, pattern)
+        gc.set_threshold(100_000, 50)  # the tables are large and free of garbage: walk them less often
     return _codecs[key]
 
 
@@ -318,12 +330,13 @@ def encode_rows(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool =
                 part = batch.slice(at, 256)
                 counts, hashes, decoded, lists = [], [], [], []
                 for value in part.column(1):
-                    ids, shown = codec.encode(value.as_py())
+                    shown = codec.encode(value.as_py())
+                    ids = shown.split(",") if shown else []
                     counts.append(len(ids))
                     hashes.append(sha(shown.encode()))
                     decoded.append(sha(codec.decode(ids).encode()))
                     if with_ids:
-                        lists.append(pa.array(ids, pa.int32()))
+                        lists.append(pa.array([int(i) for i in ids], pa.int32()))
                 columns = [part.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)]
                 if with_ids:
                     ends = [0]
