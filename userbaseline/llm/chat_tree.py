@@ -116,7 +116,8 @@ def chat_trees(conversations: DataFrame) -> ChatTrees:
     """Build the trees of all conversations and write them to the shared folder."""
     turns = cut(formatted_turns(conversations))
     node = ["x1", "x2", "depth"]
-    owners = turns.groupBy(*node).agg(F.min("conv").alias("owner"))
+    # a table of its own meets the turns in a plain join, whose hot nodes Spark can split
+    owners = cut(turns.groupBy(*node).agg(F.min("conv").alias("owner")))
     runs = turns.select("conv", *node, "at", "n").join(owners, node).groupBy("conv", "owner").agg(
         F.min("depth").alias("from_depth"), F.min("at").alias("from_at"), F.sum("n").alias("length")
     )
