@@ -38,7 +38,7 @@ def flag_matrix(sessions: DataFrame, labelled_commands: DataFrame, **options) ->
 def label_commands(commands: DataFrame, training: DataFrame, **options) -> DataFrame:
     """Commands with ``cmd_rep`` (and ``probability``) from the reputation forest.
 
-    ``training`` has (cmd, label); options as in :func:`text_features.component_scores`.
+    ``training`` has (cmd, label); options as in :func:`text_features.text_scores`.
     """
     known = training.select(
         F.col("cmd").alias("text"), "label", F.lit("train").alias("origin")

@@ -686,6 +686,18 @@ def term_moments(t: Inputs) -> DataFrame:
     return tf.term_moments(t.corpus)
 
 
+@_query
+def standardised_terms(t: Inputs) -> DataFrame:
+    return tf.standardised_terms(t.corpus)
+
+
+@_query
+def component_correlations(t: Inputs) -> DataFrame:
+    """Scores on different components are uncorrelated over the texts that the components come from."""
+    found = tf.score_correlations(tf.component_scores(t.corpus, "union"))
+    return found.select("i", "j", (F.round("r", 4) + F.lit(0.0)).alias("r"))
+
+
 @_query
 def pca_scores(t: Inputs) -> DataFrame:
     scored = tf.score_columns(tf.component_scores(t.corpus, "union"))
@@ -717,6 +729,16 @@ def command_reputation_join(t: Inputs) -> DataFrame:
     return labelled.select("cmd_id", "session_id", "cmd_rep")
 
 
+@_query
+def command_reputation_from_csv(t: Inputs) -> DataFrame:
+    """The same with the training commands read from a file; the likelier label is beyond a half."""
+    path = scratch_path(t.spark, "training-csv")
+    _early_commands(t).write.option("header", True).option("escape", '"').csv(path)
+    labelled = behaviour.label_commands(t.commands, readers.labelled_commands(t.spark, path))
+    sure = (F.array_max("probability") > 0.5) & (F.abs(F.aggregate("probability", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9)
+    return labelled.select("cmd_id", "cmd_rep", sure.alias("sure"))
+
+
 @_query
 def flag_matrix_modelled(t: Inputs) -> DataFrame:
     """The flag matrix with GOOD and BAD from the reputation forest."""
@@ -756,6 +778,17 @@ def day_verdict(t: Inputs) -> DataFrame:
     return behaviour.verdicts(rows.filter(~early).drop("label"), rows.filter(early))
 
 
+@_query
+def day_verdict_from_csv(t: Inputs) -> DataFrame:
+    """All days, judged by a forest grown on early days of the file; there the label follows bad_cmd."""
+    path = scratch_path(t.spark, "days-csv")
+    rows = cut(t.flags)
+    label = F.when(F.col("bad_cmd") == 1, "ANOMALY").otherwise("NORMAL").alias("label")
+    rows.filter(F.col("day") < F.lit(TEST_FROM).cast("date")).select(*rules.FLAGS, label).write.option("header", True).csv(path)
+    labelled = readers.positional_csv(t.spark, path, [*rules.FLAGS, "label"], list(rules.FLAGS))
+    return behaviour.verdicts(rows, labelled).select(*DAY, "prediction")
+
+
 # --- streaming ---------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ similarity on whole texts.
 
 from __future__ import annotations
 
+from userbaseline.models.text_features import COMPONENTS
 from userbaseline.plans.catalog import SILENT, SMALL_CHUNK, TEST_FROM
 from userbaseline.sources.tenants import AS_OF, FIRST_DAY, LOST_KEY_COMPANY, OPT_IN_DAYS
 
@@ -562,6 +563,9 @@ def oracle_sql() -> dict[str, str]:
     sql, needs = _matrix("b", "week_v")
     q["flag_matrix"] = _with(sql, *needs)
     q["flag_matrix_modelled"] = q["flag_matrix"]
+    q["day_verdict_from_csv"] = _with(
+        f"""SELECT user_id, day, CASE WHEN bad_cmd = 1 THEN 'ANOMALY' ELSE 'NORMAL' END AS prediction FROM ({sql})""", *needs
+    )
     q["flag_matrix_silent_sessions"] = _with(sql, *needs, replaced=_SOME_SILENT)
     q["flag_matrix_opted_in"] = _with(sql, *needs, replaced=_OPTED_IN)
     sql, needs = _matrix("f", "last_v")
@@ -585,6 +589,16 @@ def oracle_sql() -> dict[str, str]:
         (SELECT CAST(count(*) AS DOUBLE) AS texts FROM documents)""",
         "counted",
     )
+    q["standardised_terms"] = _with(
+        """SELECT doc_id, term, round((n - s1 / texts) / sd, 6) AS z FROM counted JOIN
+        (SELECT *, sqrt((texts * s2 - s1 * s1) / (texts * (texts - 1))) AS sd FROM
+        (SELECT term, CAST(sum(n) AS DOUBLE) AS s1, CAST(sum(n * n) AS DOUBLE) AS s2 FROM counted GROUP BY term),
+        (SELECT CAST(count(*) AS DOUBLE) AS texts FROM documents)) m USING (term) WHERE sd > 0""",
+        "counted",
+    )
+    q["component_correlations"] = f"""SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r
+        FROM range({COMPONENTS}) a(i), range({COMPONENTS}) b(j)"""
+    q["command_reputation_from_csv"] = _with("SELECT cmd_id, cmd_rep, true AS sure FROM cmds", "cmds")
     q["command_reputation_join"] = _with("SELECT cmd_id, session_id, cmd_rep FROM cmds", "cmds")
     pairs = """SELECT CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS label,
         CASE WHEN toxic = 1 THEN 'BAD' ELSE 'GOOD' END AS prediction FROM labels"""
