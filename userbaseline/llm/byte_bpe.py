@@ -20,8 +20,8 @@ sent with the job.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from userbaseline.session import ship
 
 #: entries of the tables that are filled while running; pieces are kept in two halves, the older goes first
-TRANSITIONS, PIECES, PAIRS = 900_000, 400_000, 400_000
+TRANSITIONS, PIECES, PAIRS = 600_000, 250_000, 200_000
 #: white space as Unicode has it, wherever a pattern says \s
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -103,73 +103,80 @@ class Vocabulary:
 
 
 class State:
-    """What the transducer knows after some bytes: the last settled token, the bytes since, and for
-    each place in them the last token there, where it begins, and whether a token may begin there
-    that reaches beyond what has been read."""
+    """What the transducer knows after some bytes: the bytes since the last settled token, for each
+    place in them (the first is where that token ends) the last token there, and the places where
+    a token may begin that reaches beyond what has been read."""
 
-    __slots__ = ("held", "last", "begin", "open", "next")
+    __slots__ = ("held", "last", "open", "next")
 
-    def __init__(self, held: bytes, last: tuple, begin: tuple, open_: tuple):
-        self.held, self.last, self.begin, self.open = held, last, begin, open_
+    def __init__(self, held: bytes, last: tuple, open_: tuple):
+        self.held, self.last, self.open = held, last, open_
         #: by byte, the same table of the next state and the tokens emitted; -1 is the state itself
         self.next: dict = {-1: self}
 
-    def way(self, at: int) -> tuple[int, ...]:
-        """The tokens from the settled one up to place ``at``."""
-        out = []
-        while at:
-            out.append(self.last[at])
-            at = self.begin[at]
-        return tuple(reversed(out))
-
 
 class Encoder:
     """The transducer; `piece` gives the ids of one piece."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self._clear()
-
-    def _clear(self) -> None:
-        self.start = State(b"", (None,), (0,), (0,))
-        self.states: dict[tuple, State] = {}
+        self.size = {i: len(t) for i, t in vocabulary.token.items()}
+        self.states: dict[bytes, State] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Start anew. States point at each other, so they are taken apart by hand."""
+        for state in self.states.values():
+            state.next.clear()
+        self.start = State(b"", (None,), (0,))
+        self.states = {}
         self.transitions = 0
 
+    def way(self, last: tuple, at: int) -> tuple[int, ...]:
+        """The tokens from the settled one up to place ``at``."""
+        out = []
+        while at:
+            out.append(last[at])
+            at -= self.size[last[at]]
+        return tuple(reversed(out))
+
     def step(self, state: State, byte: int) -> tuple[dict, tuple[int, ...]]:
-        v, held = self.v, state.held + bytes((byte,))
-        last, begin, place = state.last, state.begin, len(held)
+        v, size, held = self.v, self.size, state.held + bytes((byte,))
+        last, place = state.last, len(held)
         open_, found = [], None
         for j in state.open:
             since = held[j:]
             if found is None:
                 token = v.rank.get(since)
                 if token is not None and v.stands(token) and (last[j] is None or v.apart(last[j], token)):
-                    found, start = token, j
+                    found = token
             if since in v.opening:
                 open_.append(j)
         if found is None:
             raise ValueError("the ranks lack a single byte")
-        last, begin = (*last, found), (*begin, start)
+        last = (*last, found)
         open_.append(place)
         # where the ways to all open places part is settled
         ends = set(open_)
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
-            ends.add(begin[far])
+            ends.add(far - size[last[far]])
         (keep,) = ends
         # states are the same if their ways are; the settled token counts where a token may follow it
         ways = set()
         for at in open_:
             while at > keep and at not in ways:
                 ways.add(at)
-                at = begin[at]
-        key = (last[keep] if keep in open_ else -1, held[keep:], *[(p - keep, last[p]) for p in sorted(ways)])
+                at -= size[last[at]]
+        parts = [len(ways), last[keep] if keep in open_ and last[keep] is not None else -1]
+        for p in sorted(ways):
+            parts += p - keep, last[p]
+        key = array("i", parts).tobytes() + held[keep:]
         to = self.states.get(key)
         if to is None:
-            shifted = tuple(max(b - keep, 0) for b in begin[keep:])
-            to = self.states[key] = State(key[1], last[keep:], shifted, tuple(j - keep for j in open_))
-        emitted = State(held, last, begin, ()).way(keep) if keep else ()
+            to = self.states[key] = State(held[keep:], last[keep:], tuple([j - keep for j in open_]))
+        emitted = self.way(last, keep) if keep else ()
         self.transitions += 1
         result = state.next[byte] = (to.next, emitted)
         return result
@@ -178,7 +185,7 @@ class Encoder:
         if (whole := self.v.rank.get(data)) is not None:
             return (whole,)
         if self.transitions >= TRANSITIONS:
-            self._clear()
+            self.clear()
         table, out = self.start.next, []
         for byte in data:
             try:
@@ -188,7 +195,7 @@ class Encoder:
             if emitted:
                 out += emitted
         state = table[-1]
-        out += state.way(len(state.held))
+        out += self.way(state.last, len(state.held))
         return tuple(out)
 
 
@@ -301,17 +308,24 @@ class Codec:
         return "".join(self.decoder.feed(ids)) + self.decoder.finish()
 
 
-_codecs: dict[str, Codec] = {}
+class Shared:
+    """A rank file as it is sent with the job. A worker's codec hangs on it: it serves all tasks of the
+    job that the worker runs, and goes when the worker turns to another job."""
+
+    def __init__(self, rank_lines: bytes, pattern: str):
+        self.rank_lines, self.pattern, self.made = rank_lines, pattern, None
+
+    def __getstate__(self):
+        return {"rank_lines": self.rank_lines, "pattern": self.pattern, "made": None}
 
+    def codec(self) -> Codec:
+        if self.made is None:
+            self.made = Codec(self.rank_lines, self.pattern)
+        return self.made
 
-def _codec(rank_lines: bytes, pattern: str) -> Codec:
-    """One codec per worker, kept between tasks."""
-    key = hashlib.sha256(rank_lines + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(rank_lines, pattern)
-        gc.set_threshold(100_000, 50)  # the tables are large and free of garbage: walk them less often
-    return _codecs[key]
+    def __del__(self):
+        if self.made is not None:
+            self.made.encoder.clear()
 
 
 def encode_rows(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
@@ -319,11 +333,11 @@ def encode_rows(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool =
     that decoding the ids gives) and, if ``with_ids``, the ids."""
     ship(docs.sparkSession)
     with open(rank_path, "rb") as file:
-        lines = docs.sparkSession.sparkContext.broadcast(file.read())
+        shared = docs.sparkSession.sparkContext.broadcast(Shared(file.read(), pattern))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(lines.value, pattern)
+        codec = shared.value.codec()
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
