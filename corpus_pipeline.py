@@ -46,7 +46,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of ids and decoded bytes."""
-    return byte_bpe.encode_rows(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    # small tables: the executors still hold what the earlier stages left in their heaps
+    return byte_bpe.encode_rows(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, tables=0.25)
 
 
 STAGES: list[tuple[str, Stage]] = [

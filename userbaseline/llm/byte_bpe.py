@@ -20,6 +20,7 @@ sent with the job.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 from userbaseline.session import ship
 
 #: entries of the tables that are filled while running; pieces are kept in two halves, the older goes first
-TRANSITIONS, PIECES, PAIRS = 600_000, 250_000, 200_000
+TRANSITIONS, PIECES, PAIRS = 900_000, 400_000, 400_000
 #: white space as Unicode has it, wherever a pattern says \s
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Vocabulary:
-    def __init__(self, rank_lines: bytes):
+    def __init__(self, rank_lines: bytes, tables: float = 1.0):
+        self.tables = tables
         self.rank = {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_lines.splitlines() if x)}
         self.token = {i: t for t, i in self.rank.items()}
         self.beyond = max(self.token) + 1
@@ -82,7 +84,7 @@ class Vocabulary:
         key = (left, right)
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) >= PAIRS:
+            if len(self._apart) >= PAIRS * self.tables:
                 self._apart.clear()
             known = self._apart[key] = self._stay(left, right)
         return known
@@ -184,7 +186,7 @@ class Encoder:
     def piece(self, data: bytes) -> tuple[int, ...]:
         if (whole := self.v.rank.get(data)) is not None:
             return (whole,)
-        if self.transitions >= TRANSITIONS:
+        if self.transitions >= TRANSITIONS * self.v.tables:
             self.clear()
         table, out = self.start.next, []
         for byte in data:
@@ -277,7 +279,7 @@ class Pieces(dict):
         self.shown = {i: str(i) for i in encoder.v.token}
 
     def __missing__(self, piece: str) -> str:
-        if len(self) >= PIECES:
+        if len(self) >= PIECES * self.encoder.v.tables:
             self.older = dict(self)
             self.clear()
         found = self.older.get(piece)
@@ -290,10 +292,11 @@ class Pieces(dict):
 
 
 class Codec:
-    """Encoder and decoder of one rank file and pattern."""
+    """Encoder and decoder of one rank file and pattern; ``tables`` scales the bounds of the tables
+    that fill while running, which changes time and memory and nothing else."""
 
-    def __init__(self, rank_lines: bytes, pattern: str):
-        vocabulary = Vocabulary(rank_lines)
+    def __init__(self, rank_lines: bytes, pattern: str, tables: float = 1.0):
+        vocabulary = Vocabulary(rank_lines, tables)
         self.encoder, self.decoder = Encoder(vocabulary), Decoder(vocabulary)
         spelled = pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
         self.split = regex.compile(spelled).findall
@@ -312,28 +315,37 @@ class Shared:
     """A rank file as it is sent with the job. A worker's codec hangs on it: it serves all tasks of the
     job that the worker runs, and goes when the worker turns to another job."""
 
-    def __init__(self, rank_lines: bytes, pattern: str):
-        self.rank_lines, self.pattern, self.made = rank_lines, pattern, None
+    def __init__(self, rank_lines: bytes, pattern: str, tables: float):
+        self.rank_lines, self.pattern, self.tables, self.made = rank_lines, pattern, tables, None
 
     def __getstate__(self):
-        return {"rank_lines": self.rank_lines, "pattern": self.pattern, "made": None}
+        return self.__dict__ | {"made": None}
 
     def codec(self) -> Codec:
         if self.made is None:
-            self.made = Codec(self.rank_lines, self.pattern)
+            self.made = Codec(self.rank_lines, self.pattern, self.tables)
+            # the tables are large and free of garbage: walk them less often while they serve
+            self.thresholds = gc.get_threshold()
+            gc.set_threshold(100_000, 50)
         return self.made
 
     def __del__(self):
         if self.made is not None:
             self.made.encoder.clear()
+            gc.set_threshold(*self.thresholds)
 
 
-def encode_rows(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
+def encode_rows(
+    docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = True, tables: float = 1.0
+) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes
-    that decoding the ids gives) and, if ``with_ids``, the ids."""
+    that decoding the ids gives) and, if ``with_ids``, the ids.
+
+    A Python worker grows to some 600 MB with ``tables`` at 1 and 350 MB at a quarter.
+    """
     ship(docs.sparkSession)
     with open(rank_path, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(Shared(file.read(), pattern))
+        shared = docs.sparkSession.sparkContext.broadcast(Shared(file.read(), pattern, tables))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
