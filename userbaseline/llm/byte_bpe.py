@@ -323,6 +323,7 @@ class Shared:
 
     def codec(self) -> Codec:
         if self.made is None:
+            pa.default_memory_pool().release_unused()  # what earlier jobs left to this worker
             self.made = Codec(self.rank_lines, self.pattern, self.tables)
             # the tables are large and free of garbage: walk them less often while they serve
             self.thresholds = gc.get_threshold()

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text hashed at a time; a longer text is one slice of its own
-SLICE_BYTES = 2 << 20
-CHUNK_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 #: kinds of bytes: words are runs of one kind, kind 0 stands between words
 PLAIN = np.ones(256, np.uint8)
@@ -192,7 +192,7 @@ class Tally:
     in it (fewer in a window that ends early). Nothing that is frequent throughout is missed.
     """
 
-    def __init__(self, size: int = 2 << 20, least: int = 4):
+    def __init__(self, size: int = 1 << 20, least: int = 3):
         self.size, self.least = size, least
         self.held: list[np.ndarray] = []
         self.count = 0
