@@ -23,6 +23,7 @@ SESSION_ROLES = {
     "ports": "ports_ref",
     "created_by": "created_by_ref",
 }
+PLACE_ROLES = {"latitude": "latitude_ref", "longitude": "longitude_ref"}
 SESSION_BLANKS = ("hostname", "host_ip", "ip", "ports", "created_by")
 COMMAND_ROLES = {
     "cmd": "cmd_ref",
@@ -153,6 +154,4 @@ def with_roles_unpivoted(
 
 def with_coordinates(geo_sessions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Second lookup along a chain: dictionary ids that came from the address join."""
-    return with_roles(
-        geo_sessions, dictionary, {"latitude": "latitude_ref", "longitude": "longitude_ref"}
-    )
+    return with_roles(geo_sessions, dictionary, PLACE_ROLES)

@@ -25,7 +25,7 @@ from userbaseline.operators import (
     similarity,
     tenancy,
 )
-from userbaseline.plans import behaviour
+from userbaseline.plans import behaviour, readable
 from userbaseline.session import cut, scratch_path
 from userbaseline.sources import event_log, readers, tenants
 from userbaseline.streaming import sessions as streaming
@@ -349,7 +349,26 @@ def dictionary_decode_unpivot(t: Inputs) -> DataFrame:
 @_query
 def command_dictionary_decode(t: Inputs) -> DataFrame:
     stored = tenants.command_refs(t.project_commands)
-    return enrich.with_roles(stored, t.dictionary, enrich.COMMAND_ROLES)
+    decoded = enrich.with_roles(stored, t.dictionary, enrich.COMMAND_ROLES)
+    return decoded.select("cmd_id", "session_id", "project_id", *enrich.COMMAND_ROLES)
+
+
+@_query
+def session_rows(t: Inputs) -> DataFrame:
+    """Sessions inside opt-in periods with all their look-ups."""
+    nation = t.table("nation")
+    return readable.session_rows(
+        tenants.session_details(t.sessions), t.servers, t.projects, tenants.opt_in(nation, overlapping=True),
+        tenants.ips(nation), t.dictionary, tenants.users(t.table("customer")), tenants.AS_OF,
+    )
+
+
+@_query
+def command_rows(t: Inputs) -> DataFrame:
+    """Commands of sessions inside opt-in periods with all their look-ups."""
+    periods = tenants.opt_in(t.table("nation"), overlapping=True)
+    allowed = enrich.in_opt_in(t.placed_sessions, periods, tenants.AS_OF)
+    return readable.command_rows(tenants.command_refs(t.project_commands), allowed, t.dictionary)
 
 
 @_query

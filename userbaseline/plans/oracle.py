@@ -117,7 +117,8 @@ _cte(
        CASE WHEN n_nationkey IS NULL THEN NULL WHEN n_nationkey % 2 = 0 THEN 'fixed' ELSE 'mobile' END AS ip_type,
        CASE WHEN n_nationkey IS NULL THEN NULL WHEN n_nationkey % 3 = 0 THEN 'click'
             WHEN n_nationkey % 3 = 1 THEN 'view' ELSE 'nowhere' END AS latitude_text,
-       CASE WHEN n_nationkey IS NOT NULL THEN 'error' END AS longitude_text
+       CASE WHEN n_nationkey IS NOT NULL THEN 'error' END AS longitude_text,
+       n_nationkey AS place, n_regionkey AS continent
        FROM placed s LEFT JOIN nation ON s.ip_id = n_nationkey""",
     "placed",
 )
@@ -446,6 +447,51 @@ def oracle_sql() -> dict[str, str]:
         "pcmds",
         "dict",
     )
+    q["session_rows"] = _with(
+        f"""SELECT s.session_id AS id, s.server_id, s.session_id % 32768 AS pid,
+        coalesce({_role("s", "hostname_ref")}, '') AS hostname, coalesce({_role("s", "host_ip_ref")}, '') AS host_ip,
+        {_role("s", "user_ref")} AS "user", c_name AS cmd_username, c_mktsegment AS cmd_fullname,
+        coalesce({_role("s", "ip_ref")}, '') AS ip, s.stamp AS date_created,
+        {_ts("s.last_ts")} AS date_disconnected, {_ts("s.start_ts")} AS first_time_seen,
+        substring(s.country_name, 1, 2) AS country_code, s.ip_type,
+        date_sub('second', s.start_ts, s.last_ts) AS session_duration, {_ts("s.last_ts")} AS date_last_command,
+        s.commands_count, s.violations, s.country_name, 'R' || s.place % 4 AS region_code,
+        'city ' || s.place % 7 AS city, lpad(CAST(s.place AS VARCHAR), 5, '0') AS postal_code,
+        {_role("s", "lat")} AS latitude, {_role("s", "lon")} AS longitude,
+        'continent ' || s.continent AS continent_code, 'region ' || s.place % 4 AS region_name,
+        s.ip_id % 5 AS ip_risk_score, s.project_id, s.triggered_total - s.violations AS triggered_count,
+        CASE WHEN s.session_id % 2 = 0 THEN 'ssh' ELSE 'console' END AS how_connected,
+        coalesce({_role("s", "ports_ref")}, '') AS ports, '10.0.0.' || s.ip_id AS created_ip,
+        coalesce({_role("s", "created_by_ref")}, '') AS created_by,
+        CASE WHEN s.session_id % 3 = 0 THEN 0 ELSE 1 END AS interactive, s.user_id AS auth_user_id,
+        'approver ' || s.user_id % 10 AS duo_approver, {_ts("s.start_ts")} AS time_created,
+        CASE WHEN s.violations > 0 THEN {_ts("s.last_ts")} END AS stopped_by_user_date
+        FROM (SELECT *, {_id("latitude_text")} AS lat, {_id("longitude_text")} AS lon FROM geo) s
+        LEFT JOIN customer ON s.user_id = c_custkey WHERE EXISTS (SELECT 1 FROM periods p WHERE {_INSIDE})""",
+        "geo",
+        "dict",
+        "periods",
+    )
+    q["command_rows"] = _with(
+        f"""SELECT cmd_id AS id, CASE WHEN root IN ('click', 'view') THEN 'builtin' ELSE 'external' END AS command_type,
+        strftime(ts, '%Y%m%d%H') AS date_created, CASE WHEN root = 'error' THEN 1 ELSE 0 END AS trigger_status,
+        cmd_id % 2 AS user_typed, session_id, cmd_id AS server_cmd_id,
+        CASE WHEN root = 'signup' THEN 'LANG=C' END AS extra_vars, cmd_id % 32768 AS pid,
+        CASE WHEN cmd_id <> session_id THEN session_id END AS parent_server_cmd_id, cmd_id % 3 AS child_count,
+        {_ts("ts")} AS time_created, CASE WHEN cmd_id = session_id THEN 1 ELSE 0 END AS is_parent,
+        {_role("c", "cmd_ref")} AS cmd, {_role("c", "cmd_root_ref")} AS cmd_root,
+        {_role("c", "parameters_ref")} AS parameters,
+        CASE WHEN root = 'click' THEN {_role("c", "parameters_ref")} END AS cwd,
+        CASE WHEN root <> 'error' THEN {_role("c", "cmd_root_ref")} END AS exec_path,
+        {_role("c", "cmd_ref")} AS binary_hash
+        FROM (SELECT cmd_id, session_id, project_id, ts, cmd_root AS root, {_id("cmd")} AS cmd_ref,
+        {_id("cmd_root")} AS cmd_root_ref, {_id("parameters")} AS parameters_ref FROM pcmds) c
+        WHERE session_id IN (SELECT s.session_id FROM placed s WHERE EXISTS (SELECT 1 FROM periods p WHERE {_INSIDE}))""",
+        "pcmds",
+        "dict",
+        "placed",
+        "periods",
+    )
     q["session_user_left_join"] = _with(
         """SELECT session_id, user_id, c_name AS username, c_mktsegment AS full_name
         FROM sess LEFT JOIN customer ON user_id = c_custkey""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from userbaseline.functions import scalars
 from userbaseline.sources.event_log import dictionary_id
 
 # Start of the data, and the moment an open opt-in period is taken to end.
@@ -77,6 +78,12 @@ def ips(nation: DataFrame) -> DataFrame:
             F.lit(project).cast("long").alias("ip_project_id"),
             country.alias("country_name"),
             F.when(key % 2 == 0, "fixed").otherwise("mobile").alias("ip_type"),
+            F.substring("n_name", 1, 2).alias("country_code"),
+            F.concat(F.lit("continent "), F.col("n_regionkey").cast("string")).alias("continent_code"),
+            F.concat(F.lit("R"), (key % 4).cast("string")).alias("region_code"),
+            F.concat(F.lit("region "), (key % 4).cast("string")).alias("region_name"),
+            F.concat(F.lit("city "), (key % 7).cast("string")).alias("city"),
+            F.lpad(key.cast("string"), 5, "0").alias("postal_code"),
             dictionary_id(latitude).alias("latitude_ref"),
             dictionary_id(F.lit("error")).alias("longitude_ref"),
         )
@@ -137,4 +144,34 @@ def command_refs(project_commands: DataFrame) -> DataFrame:
         F.when(root == "click", dictionary_id(F.col("parameters"))).alias("cwd_ref"),
         F.when(root == "error", F.lit("-1")).otherwise(dictionary_id(root)).alias("exec_path_ref"),
         dictionary_id(F.col("cmd")).alias("binary_hash_ref"),
+        F.when(root.isin("click", "view"), "builtin").otherwise("external").alias("command_type"),
+        F.date_format("ts", "yyyyMMddHH").alias("date_created"),
+        F.when(root == "error", 1).otherwise(0).alias("trigger_status"),
+        (F.col("cmd_id") % 2).alias("user_typed"),
+        F.col("cmd_id").alias("server_cmd_id"),
+        F.when(root == "signup", "LANG=C").alias("extra_vars"),
+        (F.col("cmd_id") % 32768).alias("pid"),
+        F.when(F.col("cmd_id") != F.col("session_id"), F.col("session_id")).alias("parent_server_cmd_id"),
+        (F.col("cmd_id") % 3).alias("child_count"),
+        F.col("ts").alias("time_created"),
+        F.when(F.col("cmd_id") == F.col("session_id"), 1).otherwise(0).alias("is_parent"),
+    )
+
+
+def session_details(sessions: DataFrame) -> DataFrame:
+    """Sessions with the stored columns that nothing is computed from."""
+    number = F.col("session_id")
+    return sessions.withColumns(
+        {
+            "pid": number % 32768,
+            "date_disconnected": F.col("last_ts"),
+            "first_time_seen": F.col("start_ts"),
+            "session_duration": scalars.seconds_between(F.col("start_ts"), F.col("last_ts")),
+            "ip_risk_score": F.col("ip_id") % 5,
+            "how_connected": F.when(number % 2 == 0, "ssh").otherwise("console"),
+            "created_ip": F.concat(F.lit("10.0.0."), F.col("ip_id").cast("string")),
+            "interactive": F.when(number % 3 == 0, 0).otherwise(1),
+            "duo_approver": F.concat(F.lit("approver "), (F.col("user_id") % 10).cast("string")),
+            "stopped_by_user_date": F.when(F.col("violations") > 0, F.col("last_ts")),
+        }
     )
