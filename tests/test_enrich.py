@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from userbaseline.functions import scalars
 from userbaseline.operators import enrich, tenancy
+from userbaseline.plans import readable
+from userbaseline.sources import tenants
 
 T = dt.datetime
 KEYS = {1: "00112233445566778899aabbccddeeff", 2: "ffeeddccbbaa99887766554433221100"}
@@ -186,3 +188,35 @@ def test_text_scalars(spark):
         scalars.terms(F.col("b")).alias("terms"),
     ).first()
     assert (r.trimmed, r.clean, r.terms) == ("a,b", " ls -l é xyz ", ["xyz"])
+
+
+def test_whole_rows_keep_unknown_references(spark):
+    sessions = spark.sql(
+        """SELECT * FROM VALUES (1L, 7L, 1L, 'h1', 'gone'), (2L, NULL, 9L, NULL, 'h1'), (3L, 7L, 1L, 'h1', 'h1')
+        AS t(session_id, user_id, ip_id, user_ref, ip_ref)"""
+    ).selectExpr(
+        "*", "IF(session_id = 3, 99L, 5L) AS server_id", "'2024010210' AS stamp",
+        "TIMESTAMP_NTZ'2024-01-02 10:05:09' AS start_ts", "TIMESTAMP_NTZ'2024-01-02 10:05:19' AS last_ts",
+        "2L AS commands_count", "1L AS violations", "3L AS triggered_total",
+        "CAST(NULL AS string) AS ports_ref", "'h1' AS created_by_ref",
+    )
+    servers = spark.sql("SELECT 5L AS server_id, 4L AS project_id, 'h1' AS hostname_ref, 'h2' AS host_ip_ref")
+    projects = spark.sql("SELECT 4L AS project_id, 1L AS company_id")
+    # two periods that overlap: a session is shown once all the same
+    periods = spark.sql(
+        """SELECT 4L AS project_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS start_date,
+        CAST(NULL AS timestamp_ntz) AS end_date FROM range(2)"""
+    )
+    nation = spark.sql("SELECT 1 AS n_nationkey, 'FRANCE' AS n_name, 0 AS n_regionkey")
+    users = spark.sql("SELECT 7L AS user_id, 'u7' AS username, 'User 7' AS full_name")
+    dictionary = spark.sql("SELECT * FROM VALUES (4L, 'h1', 'one'), (4L, 'h2', 'two') AS t(project_id, id, value)")
+    rows = readable.session_rows(
+        tenants.session_details(sessions), servers, projects, periods, tenants.ips(nation), dictionary, users,
+        "2024-02-01 00:00:00",
+    )
+    assert rows.columns == list(readable.SESSION_COLUMNS)
+    first, second = rows.orderBy("id").collect()  # the third has no known server
+    assert (first.user, first.ip, first.hostname, first.host_ip, first.ports) == ("one", "", "one", "two", "")
+    assert (first.cmd_username, first.country_name, first.country_code) == ("u7", "FRANCE", "FR")
+    assert (first.triggered_count, first.session_duration) == (2, 10)
+    assert (second.user, second.ip, second.cmd_username, second.country_name) == (None, "one", None, None)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def held_out(key: Column, share: float = 1 / 3) -> Column:
+    """Whether rows of a text key are kept back from training: equal keys always go together."""
+    return F.substring(F.md5(key), 1, 4) < f"{int(share * 16**4):04x}"
+
+
 def confusion_matrix(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n) for the pairs that occur."""
     return (

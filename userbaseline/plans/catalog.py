@@ -758,6 +758,15 @@ def command_reputation_from_csv(t: Inputs) -> DataFrame:
     return labelled.select("cmd_id", "cmd_rep", sure.alias("sure"))
 
 
+@_query
+def reputation_holdout(t: Inputs) -> DataFrame:
+    """The reputation forest on early commands whose texts it has not been trained on."""
+    early, held = _early_commands(t), evaluation.held_out(F.col("cmd"))
+    unseen = early.filter(held).withColumnRenamed("label", "truth")
+    judged = behaviour.label_commands(unseen, early.filter(~held))
+    return evaluation.confusion_matrix(judged, "truth", "cmd_rep")
+
+
 @_query
 def flag_matrix_modelled(t: Inputs) -> DataFrame:
     """The flag matrix with GOOD and BAD from the reputation forest."""

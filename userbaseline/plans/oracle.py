@@ -645,6 +645,11 @@ def oracle_sql() -> dict[str, str]:
     q["component_correlations"] = f"""SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r
         FROM range({COMPONENTS}) a(i), range({COMPONENTS}) b(j)"""
     q["command_reputation_from_csv"] = _with("SELECT cmd_id, cmd_rep, true AS sure FROM cmds", "cmds")
+    q["reputation_holdout"] = _with(
+        f"""SELECT cmd_rep AS label, cmd_rep AS prediction, count(*) AS n FROM cmds
+        WHERE dy < DATE '{TEST_FROM}' AND substring(md5(cmd), 1, 4) < '5555' GROUP BY ALL""",
+        "cmds",
+    )
     q["command_reputation_join"] = _with("SELECT cmd_id, session_id, cmd_rep FROM cmds", "cmds")
     pairs = """SELECT CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS label,
         CASE WHEN toxic = 1 THEN 'BAD' ELSE 'GOOD' END AS prediction FROM labels"""
