@@ -168,6 +168,65 @@ def test_paragraphs_against_brute_force(documents):
     assert got == removed
 
 
+def test_passages_inside_lines_and_over_short_ones(documents):
+    rnd = random.Random(23)
+    own = lambda n: prose(rnd, n, 10**6)
+    passage, spread, whole, loose = own(55), own(60).split(" "), own(70), own(49)
+    short = "\n".join(" ".join(spread[i : i + 12]) for i in range(0, 60, 12))
+    rows = [
+        (1, f"{own(80)} {passage} {own(90)}\n{whole}"),
+        (2, f"é日 {own(40)}\n{own(100)} {passage.upper()} {own(60)}\n{whole}"),  # inside another line
+        (3, f"{own(8)}\n{short}\n{own(9)}"),
+        (4, f"{own(30)}\n{' '.join(spread[:7])}\n{'  '.join(spread[7:])}\n{own(3)}"),  # other line breaks
+        (5, f"{own(70)} {loose} {own(70)}"), (6, f"{own(70)} {loose} {own(70)}"),  # a word too few
+        (7, f"{own(120)} {passage} {own(120)} {passage} {own(120)}"),  # twice more
+        (8, None), (9, ""), (None, f"{own(150)} {passage} {own(150)}"),
+        (10, "long " * 300), (2, None),
+    ]
+    docs = documents(rows)
+    found = paragraph_dedup.repeats(docs)
+    spans = [r for r in found.collect() if r.paragraph is None]
+    texts = {d: t for d, t in rows if t}
+    got = sorted((str(r.doc_id), words(texts[r.doc_id][r.start : r.end].lower()), r.n_words, r.kept_doc_id) for r in spans)
+    p, s = passage.split(" "), spread
+    assert got == [
+        ("10", ["long"] * 299, 299, 10), ("2", p, 55, 1), ("4", s, 60, 3), ("7", p, 55, 1), ("7", p, 55, 1),
+        ("None", p, 55, 1),
+    ]
+    assert all(texts[r.kept_doc_id][r.kept_start :].startswith(" ".join(words(texts[r.doc_id][r.start : r.end].lower())[:7])) for r in spans)
+    kept = [r.text for r in paragraph_dedup.remove_repeats(docs, found).collect()]
+    assert len(kept) == len(rows) and sum(t is None for t in kept) == 2
+    assert sum(passage in (t or "").lower() for t in kept) == 1
+    assert sum(" ".join(spread[:7]) in (t or "") for t in kept) == 1
+    assert sum(whole in (t or "") for t in kept) == 1
+    assert {rows[0][1], rows[2][1], rows[4][1], rows[5][1]} <= set(kept)
+
+
+def test_passages_against_brute_force(documents):
+    rnd = random.Random(31)
+    sources = [prose(rnd, 200, 10**6).split(" ") for _ in range(4)]
+    rows = []
+    for d in range(60):
+        parts = []
+        for _ in range(rnd.randrange(1, 4)):
+            source, at = rnd.choice(sources), rnd.randrange(150)
+            parts += prose(rnd, 60, 10**6).split(" ") + source[at : at + rnd.randrange(30, 70)]
+        rows.append((d, "".join(w + rnd.choice([" ", "  ", " ", "\n"]) for w in parts)))
+    none = paragraph_dedup.repeated_paragraphs(documents([(0, "")]))
+    first, want = {}, set()
+    for d, t in rows:
+        w = words(t)
+        for at in range(len(w) - 49):
+            window = tuple(w[at : at + 50])
+            if first.setdefault(window, (d, at)) != (d, at):
+                want |= {(d, i) for i in range(at, at + 50)}
+    got = set()
+    for r in paragraph_dedup.repeated_passages(documents(rows), none).collect():
+        before = len(words(rows[r.doc_id][1][: r.start]))
+        got |= {(r.doc_id, before + i) for i in range(r.n_words)}
+    assert want and got == want
+
+
 def test_band_recall():
     """20 bands of 4: of pairs at similarity 0.75 next to none is missed."""
     rng = np.random.default_rng(1)

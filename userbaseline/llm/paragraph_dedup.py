@@ -1,4 +1,5 @@
-"""Removal of paragraphs that other documents (or the same one) hold already, exactly or nearly.
+"""Removal of paragraphs that other documents (or the same one) hold already, exactly or nearly, and of
+passages that repeat word by word inside longer lines or over several short ones.
 
 Paragraphs are the ``\\n``-split lines of a text with at least ``min_words`` words. Their sets of
 distinct 5-word shingles (A-Z folded) get MinHash signatures of ``BANDS`` x ``ROWS`` values; paragraphs
@@ -7,6 +8,12 @@ of each component the first paragraph (by document, then position) stays and the
 With 20 bands of 4 rows a pair at similarity 0.75 is missed with probability
 (1 - 0.75**4)**20 = 0.0005, one at 0.85 with 1e-6; equal paragraphs are never missed.
 
+Passages are runs of ``PASSAGE`` or more words (A-Z folded, whatever blanks stand between) outside the removed
+paragraphs that occur earlier, by document and position, outside them too; the first occurrence stays. All are
+found: each window of ``PASSAGE`` words has as its key the least hash of the ``UNIT``-word windows in it, so equal
+windows have equal keys. Keys are few, as neighbouring windows share them; only windows whose key occurs twice
+are compared, by hashes of 128 bits.
+
 Null and empty texts have no paragraphs. Rows that share a ``doc_id`` are taken as one document: a
 paragraph at the same position of a repeated row is the same occurrence. A null ``doc_id`` sorts last.
 Other columns are ignored.
@@ -18,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from userbaseline.llm import wordhash as wh
@@ -28,6 +35,8 @@ from userbaseline.session import cut, ship
 BANDS, ROWS = 20, 4
 MIN_WORDS = 20
 K = 5
+#: words of the shortest passage, and of the windows whose least hash is its key
+PASSAGE, UNIT = 50, 20
 FETCH_BY_BROADCAST = 500_000
 
 _seeds = wh.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -160,3 +169,173 @@ def remove_paragraphs(docs: DataFrame, removed: DataFrame) -> DataFrame:
         F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
     )
     return joined.withColumn("text", text).drop("__gone", "__lines", "__kept")
+
+
+def _sliding(ufunc: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """``ufunc`` (minimum or maximum) over every ``width`` neighbouring values."""
+    if len(values) < width:
+        return values[:0]
+    size, out = 1, values
+    while 2 * size <= width:
+        out = ufunc(out[:-size], out[size:])
+        size *= 2
+    return ufunc(out[: len(values) - width + 1], out[width - size :])
+
+
+class _Texts:
+    """Words of the whole texts of a slice, their lines, and the keys of their windows of ``PASSAGE`` words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.word = word = wh.words(data, offsets, wh.LOWER)
+        breaks = np.flatnonzero(data == 0x0A)
+        self.line = np.searchsorted(breaks, word.start) - np.searchsorted(breaks, offsets[:-1])[word.unit]
+        n, wide = len(word.hash), PASSAGE - UNIT + 1
+        none = np.zeros(0, np.uint64)
+        factors = wh.powers(UNIT + 1)
+        units = sum((word.hash[j : n - UNIT + 1 + j] * factors[j + 1] for j in range(UNIT)), np.uint64(0)) if n >= UNIT else none
+        #: hashes of the windows of UNIT words from each word, also over the ends of texts
+        self.units = wh.mix(units) if len(units) else none
+        self.keys = _sliding(np.minimum, self.units, wide)
+        self.inside = word.unit[: len(self.keys)] == word.unit[PASSAGE - 1 :] if len(self.keys) else np.zeros(0, bool)
+
+    def chosen(self) -> np.ndarray:
+        """First words of the windows of ``UNIT`` words that are the least of a window of ``PASSAGE``."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        wide = PASSAGE - UNIT + 1
+        # no key is over a hash that it covers: the largest one around equals it if one chose it
+        edge = np.zeros(wide - 1, np.uint64)
+        held = np.concatenate([edge, np.where(self.inside, self.keys, np.uint64(0)), edge])
+        return np.flatnonzero(_sliding(np.maximum, held, wide) == self.units)
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, end, data, offsets in wh.slices(batch.column(1)):
+            texts = _Texts(data, offsets)
+            at = texts.chosen()
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(row, end - row).take(pa.array(texts.word.unit[at])).cast(pa.int64()),
+                        wh.signed(texts.units[at]),
+                        pa.array(texts.line[at].astype(np.int32)),
+                        pa.array(texts.line[at + UNIT - 1].astype(np.int32)),
+                    ],
+                    ["doc_id", "key", "line", "to_line"],
+                )
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, end, data, offsets in wh.slices(batch.column(1)):
+            texts = _Texts(data, offsets)
+            if not len(texts.keys):
+                continue
+            word, wanted = texts.word, texts.inside.copy()
+            gone = np.zeros(len(word.hash), bool)
+            bounds = np.searchsorted(word.unit, np.arange(end - row + 1))
+            for u in range(end - row):
+                keys = batch.column(2)[row + u].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                here = slice(bounds[u], min(bounds[u + 1], len(wanted)))
+                wanted[here] &= np.isin(texts.keys[here], keys)
+                lines = batch.column(3)[row + u].values
+                if lines is not None and len(lines):
+                    here = slice(bounds[u], bounds[u + 1])
+                    gone[here] = np.isin(texts.line[here], lines.to_numpy(zero_copy_only=False))
+            missing = np.append(0, np.cumsum(gone))
+            at = np.flatnonzero(wanted & (missing[PASSAGE:] == missing[:-PASSAGE]))
+            if not len(at):
+                continue
+            hashes, factors = [], wh.powers(PASSAGE + 1)
+            for seed in (np.uint64(0), _seeds[0]):
+                each = wh.mix(word.hash ^ seed)
+                total = np.zeros(len(at), np.uint64)
+                for j in range(PASSAGE):
+                    total += each[at + j] * factors[j + 1]
+                hashes.append(wh.signed(wh.mix(total)))
+            unit = word.unit[at]
+            points = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(row, end - row).take(pa.array(unit)).cast(pa.int64()),
+                    pa.array(at - bounds[unit]),
+                    pa.array(points[word.start[at]] - points[offsets[unit]]),
+                    pa.array(points[word.end[at + PASSAGE - 1]] - points[offsets[unit]]),
+                    *hashes,
+                ],
+                ["doc_id", "at", "start", "end", "h1", "h2"],
+            )
+
+
+def repeated_passages(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """One row for each run of words outside the paragraphs of ``removed`` whose every window of ``PASSAGE``
+    words occurs first in one document: doc_id, start and end (code points of the text), n_words, kept_doc_id and
+    kept_start, where the run's first window stays, and n_members, how often that window occurs."""
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    gone = cut(removed.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.col("paragraph").cast("int")).alias("gone")))
+    keys = cut(docs.mapInArrow(_key_rows, "doc_id long, key long, line int, to_line int"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        twice = cut(rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
+        return rows.join(twice, "key", "left_semi")
+
+    met = shared(keys).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    touched = F.exists("gone", lambda x: (x >= F.col("line")) & (x <= F.col("to_line")))
+    left = cut(met.filter(F.col("gone").isNull() | ~touched).select("doc_id", "key"))
+    wanted = shared(left).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("keys"))
+    wanted = cut(wanted.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "keys", "gone"))
+    ids = broadcast_if_small(cut(wanted.select(F.col("id").alias("wanted_id"))), FETCH_BY_BROADCAST)
+    held = docs.join(ids, docs.doc_id.eqNullSafe(ids.wanted_id), "left_semi")
+    held = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
+    schema = "doc_id long, at long, start long, end long, h1 long, h2 long"
+    windows = cut(held.select("doc_id", "text", "keys", "gone").mapInArrow(_window_rows, schema))
+
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "start")
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_members"))
+    met = windows.join(cut(first.filter("n_members > 1")), ["h1", "h2"])
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
+    met = met.filter(later).select(
+        "doc_id", "at", "start", "end", F.col("first.doc_id").alias("kept_doc_id"),
+        F.col("first.start").alias("kept_start"), "n_members",
+    ).distinct()
+    # windows that follow one another, of one document each time
+    order = Window.partitionBy("doc_id", "kept_doc_id").orderBy("at")
+    runs = met.withColumn("run", F.col("at") - F.dense_rank().over(order))
+    begin = F.min(F.struct("at", "kept_start", "n_members")).alias("begin")
+    runs = runs.groupBy("doc_id", "kept_doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.max("at") - F.min("at") + PASSAGE).alias("n_words"), begin,
+    )
+    return runs.select(
+        "doc_id", "start", "end", "n_words", "kept_doc_id",
+        F.col("begin.kept_start").alias("kept_start"), F.col("begin.n_members").alias("n_members"),
+    )
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """The rows of `repeated_paragraphs` and `repeated_passages` in one table: paragraph and kept_paragraph are
+    null in rows of passages; start, end and kept_start in rows of paragraphs."""
+    removed = cut(repeated_paragraphs(docs))
+    return removed.unionByName(repeated_passages(docs, removed), allowMissingColumns=True)
+
+
+def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the paragraphs and passages of ``found``, as `repeats` gives it. Line breaks inside a
+    passage stay, so that lines keep their numbers."""
+    spans = found.filter("start is not null").groupBy(F.col("doc_id").alias("__id"))
+    spans = spans.agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    text = F.col("text")
+
+    def step(acc, s):
+        begin, end = F.greatest(acc.at, s.start), F.greatest(acc.at, s.end)
+        breaks = F.regexp_replace(F.substr(text, (begin + 1).cast("int"), (end - begin).cast("int")), "[^\n]+", "")
+        kept = F.substr(text, (acc.at + 1).cast("int"), (begin - acc.at).cast("int"))
+        return F.struct(end.alias("at"), F.concat(acc.out, kept, breaks).alias("out"))
+
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    done = F.aggregate("__spans", none, step, lambda acc: F.concat(acc.out, F.substr(text, (acc.at + 1).cast("int"))))
+    joined = docs.join(spans, docs.doc_id.eqNullSafe(F.col("__id")), "left")
+    joined = joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(done)).drop("__id", "__spans")
+    return remove_paragraphs(joined, found.filter("paragraph is not null"))

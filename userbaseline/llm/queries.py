@@ -30,8 +30,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every paragraph removed, with the paragraph that stays in its place."""
-    return paragraph_dedup.repeated_paragraphs(table(spark, folder, "documents"))
+    """Every paragraph and passage removed, with the one that stays in its place."""
+    return paragraph_dedup.repeats(table(spark, folder, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
