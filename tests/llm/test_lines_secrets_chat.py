@@ -103,6 +103,16 @@ def test_copied_example(documents):
     assert got[3] == (1, 0) and got[99] == (0, 1)
 
 
+def test_copied_within_one_owner(documents):
+    """An example that one owner's documents repeat is copied; a value in fewer of them is not."""
+    example, own = "ghp_Ab12Cd34Ef56Gh78Ij90Kl12", "ghp_Zz98Yy76Xx54Ww32Vv10Uu98"
+    rows = [(i, f"see {example} and password=changeme123", "en", "one") for i in range(20)]
+    rows += [(100 + i, f"see {own}", "en", "one") for i in range(19)]
+    got = {r.doc_id: r for r in secret_frequency.secret_spans(documents(rows)).collect()}
+    assert [s.kind for s in got[0].spans] == [0] and (got[0].n_copied, got[0].n_specific) == (1, 0)
+    assert [s.kind for s in got[100].spans] == [3] and (got[100].n_copied, got[100].n_specific) == (0, 1)
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "p", 0) for r in rows], "page_id long, url string, html string, payload string, digest int")
 

@@ -8,7 +8,8 @@ Base kinds (leftmost, non-overlapping per kind; matches that fail the length tes
 
 Method: the hash of each candidate's value is counted over the whole corpus by distinct repositories
 (documents, unless another column is named) and distinct owners. A value of at least
-``copied_owners`` owners is a widely copied example; others are owner-specific and look live. Two
+``copied_owners`` owners or ``copied_repositories`` repositories is a widely copied example; others are
+owner-specific and look live. Two
 further kinds, ``token`` (prefixed service tokens) and ``mixed`` (long strings of small letters, capitals
 and digits), are too weak to stand alone: their spans are added only where the value is
 owner-specific and no span of an earlier kind covers them.
@@ -36,6 +37,8 @@ MIXED = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = ["assign", "access", "hex", "token", "mixed"]
 BASE = KINDS[:3]
 COPIED_OWNERS = 3
+#: one owner may keep a live value in some documents of their own, but not in this many
+COPIED_REPOSITORIES = 20
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
@@ -83,7 +86,11 @@ def _looks_random(span: Column) -> Column:
 
 
 def secret_spans(
-    docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_owners: int = COPIED_OWNERS
+    docs: DataFrame,
+    owner: str = "source",
+    repository: str = "doc_id",
+    copied_owners: int = COPIED_OWNERS,
+    copied_repositories: int = COPIED_REPOSITORIES,
 ) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base (spans), spans (all), n_copied and n_specific.
 
@@ -106,9 +113,12 @@ def secret_spans(
     met = met.select("doc_id", F.coalesce("all", none).alias("all"))
     met = met.select("doc_id", "all", F.filter("all", lambda s: s.kind < len(BASE)).alias("base"))
 
+    def copied(s: Column) -> Column:
+        return (s.owners >= copied_owners) | (s.repositories >= copied_repositories)
+
     def added(s: Column) -> Column:
         covered = F.exists("all", lambda b: (b.kind < s.kind) & (b.start <= s.start) & (s.end <= b.end))
-        return (s.kind < len(BASE)) | ((s.owners < copied_owners) & ~covered)
+        return (s.kind < len(BASE)) | (~copied(s) & ~covered)
 
     met = met.select("doc_id", "all", "base", F.filter("all", added).alias("spans"))
     count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
@@ -117,8 +127,8 @@ def secret_spans(
         *[count(k).alias(f"n_{name}") for k, name in enumerate(BASE)],
         "base",
         "spans",
-        F.size(F.filter("spans", lambda s: s.owners >= copied_owners)).cast("long").alias("n_copied"),
-        F.size(F.filter("spans", lambda s: s.owners < copied_owners)).cast("long").alias("n_specific"),
+        F.size(F.filter("spans", copied)).cast("long").alias("n_copied"),
+        F.size(F.filter("spans", lambda s: ~copied(s))).cast("long").alias("n_specific"),
     )
 
 
