@@ -43,6 +43,13 @@ def test_lines_columns_and_limits(documents, spark):
     assert line_dedup.drop_lines(spark.createDataFrame([], docs.schema)).collect() == []
 
 
+def test_lines_of_a_batch_delivered_again(documents):
+    """Ten rows of one doc_id are one document, rows without an id none."""
+    rows = [(1, "again\nown")] * 10 + [(None, "again\nx")] * 10 + [(20 + i, "shared\nown %d" % i) for i in range(10)]
+    got = {(r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_lines(documents(rows), 10).collect()}
+    assert {(1, "again\nown", 0), (None, "again\nx", 0), (20, "own 0", 1)} <= got
+
+
 ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )

@@ -5,9 +5,10 @@ with A-Z folded. Lines are exploded, their keys hashed to 128 bits and counted b
 keys of at least ``min_chars`` code points found in at least ``min_documents`` documents lose
 all their lines. The rest is put together again by position.
 
-Only hashes and positions are shuffled for counting and matching, never lines. A document is a row: its
-key for matching is a hash of id and text, so a row that is repeated counts again and gets
-the same answer, and groups of equal texts spread by their ids. A null or empty text is one empty line.
+Only hashes, ids and positions are shuffled for counting and matching, never lines. Rows that share a ``doc_id``
+count as one document, and rows without one are not counted, as in SQL's count(DISTINCT doc_id). The key for
+matching is a hash of id and text, so a row that is repeated gets the same answer, and groups of equal texts
+spread by their ids. A null or empty text is one empty line.
 Other columns pass through unchanged, except that n_lines and n_dropped are replaced.
 """
 
@@ -49,11 +50,12 @@ def _named(hashes: list[Column], prefix: str) -> list[Column]:
 
 
 def frequent_keys(docs: DataFrame, min_documents: int, min_chars: int) -> DataFrame:
-    """(k1, k2): hashes of the keys that at least ``min_documents`` rows of ``docs`` hold."""
-    # distinct within the row, so each row counts a key once; task-side counts come before the shuffle
-    once = docs.select(F.explode(F.array_distinct(F.transform(_lines(_text()), line_key))).alias("key"))
+    """(k1, k2): hashes of the keys that at least ``min_documents`` documents (distinct ids) hold."""
+    # distinct by key and id first: a key of very many documents is spread by their ids
+    once = docs.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(_text()), line_key))).alias("key"))
     long = once.filter(F.char_length("key") >= min_chars)
-    counted = long.select(*_named(_hashes(F.col("key")), "k")).groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    each = long.filter("doc_id is not null").select("doc_id", *_named(_hashes(F.col("key")), "k")).distinct()
+    counted = each.groupBy("k1", "k2").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= min_documents).select("k1", "k2")
 
 
