@@ -3,14 +3,12 @@ import os
 import sys
 
 import pytest
+from calendar_days import day
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from userbaseline.session import local_session  # noqa: E402
 
-START = dt.date(2024, 1, 1)
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("8")
@@ -19,11 +17,6 @@ def spark():
     session.stop()
 
 
-def day(n: int) -> dt.date:
-    """Day number n, 1 = 2024-01-01."""
-    return START + dt.timedelta(days=n - 1)
-
-
 @pytest.fixture(scope="session")
 def series(spark):
     """A feature table from {user: {day number: value}}."""

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import START, day
+from calendar_days import START, day
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import day
+from calendar_days import day
 
 from userbaseline.operators import features as f
 

@@ -1,17 +1,20 @@
-"""Every registered query against its DuckDB counterpart, on the smallest data folder."""
+"""Every registered analytics query against its DuckDB counterpart, on the smallest data folder."""
 
 import math
 import os
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
+from userbaseline.plans import catalog, oracle
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier events documents labels".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +41,15 @@ def canonical(columns, rows):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_left_out_whole_where_a_module_is_missing():
+    """Without an optional module the analytics queries stay, and nothing else does."""
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(said.stdout) == len(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -1,5 +1,5 @@
 import pytest
-from conftest import START, day
+from calendar_days import START, day
 from pyspark.sql import functions as F
 
 from userbaseline.operators import rules

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import day
+from calendar_days import day
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
