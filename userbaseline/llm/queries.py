@@ -14,15 +14,19 @@ from userbaseline.llm import (
     decontamination,
     jaccard_join,
     line_dedup,
+    merkle_manifest,
+    pair_index_bpe,
     paragraph_dedup,
     quality_classifier,
     quality_rules,
     secret_frequency,
+    token_alignment,
     warc_store,
 )
 from userbaseline.session import scratch_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -105,9 +109,38 @@ def op10_chat_tree(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaf with its proof, and whether a text that was lower-cased for some ids still gives the root."""
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.translate("text", line_dedup.UPPER, line_dedup.FOLDED)
+    picked = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(picked, changed).otherwise(F.col("text"))
+    held = merkle_manifest.manifest(
+        table(spark, folder, "documents"), {"found": merkle_manifest.leaf_hash(*values, text)}
+    )
+    folded = held.withColumn("folded_root", merkle_manifest.folded_root(F.col("found"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle_manifest.proof(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pair_index_bpe.encode_rows(docs, public_tokenizers.path(BYTE_BPE), with_ids=False)
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_alignment.alignment(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         op1_substring_dedup, op2_quality_rules, op3_quality_classifier, op4_decontamination, op5_byte_bpe,
         op6_jaccard_join, op7_line_dedup, op8_warc, op9_secret_frequency, op10_chat_tree,
+        op11_merkle_manifest, op12_pair_index_bpe, op13_token_alignment,
     ]
     return {query.__name__: query for query in made}
