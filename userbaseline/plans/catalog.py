@@ -710,6 +710,18 @@ def standardised_terms(t: Inputs) -> DataFrame:
     return tf.standardised_terms(t.corpus)
 
 
+@_query
+def dtm_sparse(t: Inputs) -> DataFrame:
+    return tf.sparse_matrix(t.corpus)[0]
+
+
+@_query
+def component_residuals(t: Inputs) -> DataFrame:
+    """Every component solves the equation that defines it, over all terms."""
+    found = tf.component_residuals(t.corpus)
+    return found.select(F.col("component").cast("long"), (F.col("residual") < 1e-6).alias("solved"))
+
+
 @_query
 def component_correlations(t: Inputs) -> DataFrame:
     """Scores on different components are uncorrelated over the texts that the components come from."""

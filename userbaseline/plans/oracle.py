@@ -642,6 +642,13 @@ def oracle_sql() -> dict[str, str]:
         (SELECT CAST(count(*) AS DOUBLE) AS texts FROM documents)) m USING (term) WHERE sd > 0""",
         "counted",
     )
+    q["dtm_sparse"] = _with(
+        """SELECT doc_id, list(number ORDER BY number) AS numbers, list(n ORDER BY number) AS counts
+        FROM counted JOIN (SELECT term, row_number() OVER (ORDER BY term) - 1 AS number
+          FROM (SELECT DISTINCT term FROM counted)) USING (term) GROUP BY doc_id""",
+        "counted",
+    )
+    q["component_residuals"] = "SELECT range AS component, true AS solved FROM range(60)"
     q["component_correlations"] = f"""SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r
         FROM range({COMPONENTS}) a(i), range({COMPONENTS}) b(j)"""
     q["command_reputation_from_csv"] = _with("SELECT cmd_id, cmd_rep, true AS sure FROM cmds", "cmds")
