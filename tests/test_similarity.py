@@ -5,7 +5,7 @@ from calendar_days import day
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from userbaseline.functions.edit_distance import edge_sum, pack, rectangle, unpack
+from userbaseline.functions.edit_distance import edge_sum, pack, rectangle, tile, unpack
 from userbaseline.operators import command_text as ct
 from userbaseline.operators import similarity as s
 
@@ -44,6 +44,24 @@ def test_rectangles_make_up_the_distance(a, b, size):
     assert total == plain_distance(a, b)
 
 
+@settings(max_examples=400, deadline=None)
+@given(texts, texts, st.integers(1, 9), st.integers(1, 4), st.integers(1, 40))
+def test_tiles_in_a_band_never_fall_short_and_are_exact_inside_it(a, b, side, parts, band):
+    """Tiles of several rectangles, with edges handed on as the sweep does."""
+    block = side * parts
+    want, band = plain_distance(a, b), max(band, abs(len(a) - len(b)))
+    rights, bottoms, corner = {}, {}, None
+    for i in range(0, len(a), block):
+        for j in range(0, len(b), block):
+            if j - min(i + block, len(a)) > band or i - min(j + block, len(b)) > band:
+                continue
+            found = tile(a[i : i + block], b[j : j + block], rights.get((i, j - block)), bottoms.get((i - block, j)), i, j, band, side)
+            rights[i, j], bottoms[i, j], corner = found
+    assert corner >= want
+    if corner <= band or band >= max(len(a), len(b)):
+        assert corner == want
+
+
 def day_texts(rows):
     days = {}
     for i, (user, n, _, second, text) in enumerate(rows):
@@ -84,10 +102,47 @@ def mixed():
 def test_all_ways_give_the_same(command_rows, mixed):
     commands = command_rows(mixed)
     want = expected(mixed)
-    for options in ({}, {"inline_chars": 30, "block_chars": 50}, {"inline_chars": 0, "block_chars": 211}):
+    for options in ({}, {"inline_chars": 30, "block_chars": 50, "band": 4}, {"inline_chars": 0, "block_chars": 211, "band": 1}):
         assert got(s.day_similarity(commands, **options)) == pytest.approx(want), options
 
 
+def test_equal_heads_are_left_out(command_rows):
+    text = "".join(random.Random(1).choice("abcd ") for _ in range(600))
+    later = {2: text, 3: text + "more", 4: text[:300] + "X" + text[300:], 5: text[1:], 6: "q" * 40}
+    rows = [(1, 1, 1, 0, text)] + [(1, n, n, 0, t) for n, t in later.items()]
+    commands = command_rows(rows)
+    assert got(s.day_similarity(commands, 20, 64, 8)) == pytest.approx(expected(rows))
+
+
+def test_a_long_day_leaves_the_others_alone(command_rows, mixed):
+    """Short pairs have the same plan and rows whether another user has a long day or not."""
+    kinds = ("Join", "Window", "Aggregate", "Exchange", "Generate", "MapInArrow")
+
+    def nodes(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return [k for line in plan.split("\n") for k in kinds if k in line]
+
+    short = [r for r in mixed if r[0] in (2, 3, 5)]
+    alone = s.day_similarity(command_rows(short), 2_048, 4_096)
+    beside = s.day_similarity(command_rows([*short, (9, 1, 90, 0, "x" * 9_000), (9, 2, 91, 0, "x" * 8_000 + "y")]), 2_048, 4_096)
+    assert nodes(alone)
+    met = [k for k in nodes(beside)]
+    assert len(met) > len(nodes(alone))
+    assert {k: v for k, v in got(beside).items() if k[0] != 9} == got(alone) == pytest.approx(expected(short))
+
+
+def test_near_copies_of_a_megabyte(command_rows):
+    """A few jobs, of work in proportion to length times distance."""
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(1_000_000))
+    changed = "zz" + text[:400_000] + "!" * 30 + text[400_050:900_000] + "?" + text[900_001:]
+    commands = command_rows([(1, 1, 1, 0, text), (1, 2, 2, 0, changed), (2, 1, 3, 0, "a"), (2, 2, 4, 0, "b")])
+    found = got(s.day_similarity(commands))
+    # two put before, a stretch of fifty for thirty others, one replaced
+    assert found[1, day(2)] == pytest.approx(1 - 53 / 1_000_000, abs=1e-12)
+    assert found[2, day(2)] == 0.0
+
+
 def test_empty_equal_and_different_texts(command_rows, mixed):
     result = got(s.day_similarity(command_rows(mixed)))
     assert result[4, day(2)] == 1.0  # both empty

@@ -36,11 +36,6 @@ def text_sizes(commands: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def longest(sizes: DataFrame) -> int:
-    """Characters of the longest text; one number to the driver."""
-    return sizes.agg(F.max("chars")).first()[0] or 0
-
-
 def _joined(entries: Column) -> Column:
     """Concatenate (position…, cmd) structs in their order."""
     return F.array_join(F.transform(F.array_sort(entries), lambda e: e.getField("cmd")), SEPARATOR)
@@ -111,13 +106,14 @@ def long_texts(commands: DataFrame, keys: Sequence[str], chunk_chars: int) -> Da
 def command_text(
     commands: DataFrame, keys: Sequence[str], chunk_chars: int = CHUNK_CHARS
 ) -> DataFrame:
-    """(keys, chunk_no, text) for every group, short or long; chunks are numbered from 0."""
+    """(keys, chunk_no, text) for every group, short or long; chunks are numbered from 0.
+
+    Each group goes its own way by its own size: whether others are long changes nothing for a short one.
+    """
     keys = list(keys)
-    sizes = text_sizes(commands, keys)
-    first = F.lit(0).cast("long").alias("chunk_no")
-    if longest(sizes) <= chunk_chars:
-        return short_texts(commands, keys).select(*keys, first, "text")
-    long_keys = cut(sizes.filter(F.col("chars") > chunk_chars).select(*keys))
+    long_keys = cut(text_sizes(commands, keys).filter(F.col("chars") > chunk_chars).select(*keys))
     short = short_texts(commands.join(long_keys, keys, "left_anti"), keys)
-    rest = long_texts(commands.join(long_keys, keys, "left_semi"), keys, chunk_chars)
-    return short.select(*keys, first, "text").unionByName(rest)
+    short = short.select(*keys, F.lit(0).cast("long").alias("chunk_no"), "text")
+    if long_keys.isEmpty():  # no rows to add
+        return short
+    return short.unionByName(long_texts(commands.join(long_keys, keys, "left_semi"), keys, chunk_chars))

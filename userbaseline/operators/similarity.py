@@ -2,35 +2,41 @@
 
 Similarity is 1 − edit distance / length of the longer text, over the whole texts of both days.
 Pairs of short texts, nearly all pairs, are compared by the built-in function next to a ``lag``.
-A pair with a long text is compared exactly too, block by block: the distance table is cut
-into rectangles of ``block_chars`` a side, all rectangles on one anti-diagonal, of all pairs,
-are computed side by side in one job, and only their edges (two bits per character) pass to
-the next. Tasks take a few blocks at a time, and each diagonal is a table in the
-shared folder, so a lost executor costs at most the diagonal at hand.
+A pair with a long text is compared exactly too, each by its own size. Leading blocks that are equal are left
+out; of the rest only a band along the diagonal of the distance table is worked out first, and a
+distance that does not exceed the band is final. The others are done again with a band ``WIDEN`` times
+as wide, until it fits or covers the table. The table is cut into tiles of ``block_chars`` a side. The
+tiles on one anti-diagonal, of all pairs, are computed side by side in one job, and only their edges
+(two bits per character) pass to the next. Each diagonal is a table in the shared folder, so a lost
+executor costs at most the diagonal at hand. The number of jobs is that of the longest
+pair's diagonals, two for each ``block_chars``, times the logarithm of its distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from userbaseline.functions.edit_distance import edge_sum, pack, rectangle, unpack
+from userbaseline.functions.edit_distance import pack, tile, unpack
 from userbaseline.functions.scalars import similarity_of, text_similarity
 from userbaseline.operators import command_text as ct
 from userbaseline.operators.features import first_sessions
 from userbaseline.operators.tenancy import commands_of_sessions
-from userbaseline.session import cut, scratch_path
+from userbaseline.session import cut, scratch_path, ship
 
 DAY = ["user_id", "day"]
 # beyond this length the block comparison is the faster one as well
 INLINE_CHARS = 2_048
-# text that may lie in one Arrow batch of the block comparison
-_BATCH_CHARS = 8_000_000
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: sides of a tile and of the rectangles it is made of
+BLOCK_CHARS, SIDE = 262_144, 8_192
+#: the first band, and how many times wider the next one is
+BAND, WIDEN = 8_192, 16
+#: characters of both texts in a task's tiles
+_TASK_CHARS = 2_000_000
 
 
 def _with_previous(sizes: DataFrame) -> DataFrame:
@@ -49,29 +55,22 @@ def _inline(texts: DataFrame) -> DataFrame:
 
 
 def day_similarity(
-    commands: DataFrame,
-    inline_chars: int = INLINE_CHARS,
-    block_chars: int = ct.CHUNK_CHARS,
+    commands: DataFrame, inline_chars: int = INLINE_CHARS, block_chars: int = BLOCK_CHARS, band: int = BAND
 ) -> DataFrame:
     """Feature 6: (user_id, day, five_cmd_match), for days with at least one command.
 
-    The sizes of the texts are looked at first (one number to the driver) to choose the plan.
+    A pair goes its own way by its own size: a long day changes nothing for other pairs.
     """
     commands = commands.filter(F.col("user_id").isNotNull() & F.col("day").isNotNull())
-    sizes = ct.text_sizes(commands, DAY)
-    if ct.longest(sizes) <= inline_chars:
-        return _inline(ct.short_texts(commands, DAY))
-
-    pairs = cut(_with_previous(sizes))
-    small = F.col("chars") <= inline_chars
-    short = ct.short_texts(commands.join(pairs.filter(small), DAY, "left_semi"), DAY)
+    pairs = cut(_with_previous(ct.text_sizes(commands, DAY)))
+    long_days = pairs.filter(F.col("chars") > inline_chars).select(*DAY)
+    short = ct.short_texts(commands.join(long_days, DAY, "left_anti"), DAY)
     # long days stay in the sequence without their text, so that lag still finds the day before
     near = _inline(pairs.select(*DAY).join(short, DAY, "left"))
-    long_pair = F.col("prev_day").isNotNull() & (
-        F.greatest("chars", "prev_chars") > inline_chars
-    )
-    long_pairs = pairs.filter(long_pair)
-    far = _blocked(commands, long_pairs, block_chars)
+    long_pairs = pairs.filter(F.col("prev_day").isNotNull() & (F.greatest("chars", "prev_chars") > inline_chars))
+    if long_pairs.isEmpty():  # no rows to exchange
+        return near
+    far = _blocked(commands, long_pairs, block_chars, band)
     return near.join(long_pairs, DAY, "left_anti").unionByName(far)
 
 
@@ -83,26 +82,15 @@ def day_similarity_first_session(
     return day_similarity(commands_of_sessions(commands, first), inline_chars)
 
 
-def _blocked(commands: DataFrame, pairs: DataFrame, block_chars: int) -> DataFrame:
+def _blocked(commands: DataFrame, pairs: DataFrame, block_chars: int, band: int) -> DataFrame:
     """Exact similarity of pairs with a long text."""
-    spark = commands.sparkSession
-    path = scratch_path(spark, "day-similarity")
-
-    def blocks(chars):
-        return F.ceil(F.col(chars) / block_chars)
-
+    ship(commands.sparkSession)
+    blocks = lambda chars: F.ceil(F.col(chars) / block_chars)
     # an empty text against any other: the distance is the other's length, similarity 0
     empty = F.least("chars", "prev_chars") == 0
-    grid = cut(
-        pairs.filter(~empty).withColumns(
-            {"n_rows": blocks("chars"), "n_columns": blocks("prev_chars")}
-        )
-    )
+    grid = pairs.filter(~empty).withColumns({"n_rows": blocks("chars"), "n_columns": blocks("prev_chars")})
     wanted = pairs.select(*DAY).union(pairs.select("user_id", "prev_day")).distinct()
-    ct.command_text(commands.join(wanted, DAY, "left_semi"), DAY, block_chars).write.parquet(
-        f"{path}/texts"
-    )
-    texts = spark.read.parquet(f"{path}/texts")
+    texts = cut(ct.command_text(commands.join(wanted, DAY, "left_semi"), DAY, block_chars))
     rows = texts.select(*DAY, F.col("chunk_no").alias("i"), F.col("text").alias("row_text"))
     columns = texts.select(
         "user_id",
@@ -110,89 +98,97 @@ def _blocked(commands: DataFrame, pairs: DataFrame, block_chars: int) -> DataFra
         F.col("chunk_no").alias("j"),
         F.col("text").alias("column_text"),
     )
-    batch_rows = spark.conf.get(_BATCH_ROWS)
-    spark.conf.set(_BATCH_ROWS, max(1, _BATCH_CHARS // (2 * block_chars)))
-    try:
-        n_diagonals = _sweep(grid, rows, columns, block_chars, f"{path}/edges")
-    finally:
-        spark.conf.set(_BATCH_ROWS, batch_rows)
-
-    if n_diagonals:
-        solved = spark.read.parquet(f"{path}/edges")
-        rises = (
-            solved.filter(F.col("j") == F.col("n_columns") - 1)
-            .groupBy(*DAY)
-            .agg(F.sum("rise").alias("rise"))
-        )
-        distance = F.col("prev_chars") + F.col("rise")
-        alike = similarity_of(distance, F.col("chars"), F.col("prev_chars"))
-        compared = grid.join(rises, DAY).select(*DAY, alike.alias("five_cmd_match"))
-    else:
-        compared = grid.select(*DAY, F.lit(None).cast("double").alias("five_cmd_match"))
-    apart = pairs.filter(empty).select(*DAY, F.lit(0.0).alias("five_cmd_match"))
-    return compared.unionByName(apart)
-
-
-def _sweep(
-    grid: DataFrame, rows: DataFrame, columns: DataFrame, block_chars: int, path: str
-) -> int:
-    """Work through the anti-diagonals of all pairs; one table of edges for each."""
+    grid = _without_equal_head(grid, rows, columns, block_chars)
+    apart = F.abs(F.col("chars") - F.col("prev_chars"))
+    open_ = cut(grid.withColumn("reach", F.greatest(apart, F.lit(band).cast("long"))))
+    found = pairs.filter(empty).select(*DAY, F.lit(0.0).alias("five_cmd_match"))
+    while not open_.isEmpty():
+        corners = _sweep(open_, rows, columns, block_chars)
+        met = cut(open_.join(corners, DAY))
+        final = (F.col("distance") <= F.col("reach")) | (F.col("reach") >= F.greatest("chars", "prev_chars"))
+        alike = similarity_of(F.col("distance"), F.col("chars"), F.col("prev_chars")).alias("five_cmd_match")
+        found = found.unionByName(met.filter(final).select(*DAY, alike))
+        open_ = cut(met.filter(~final).drop("distance").withColumn("reach", F.col("reach") * WIDEN))
+    return found
+
+
+def _without_equal_head(grid: DataFrame, rows: DataFrame, columns: DataFrame, block_chars: int) -> DataFrame:
+    """The pairs with ``head``, the number of equal leading blocks (the last one stays), and n_rows and
+    n_columns without those."""
+    digest = lambda t, text: t.withColumn("digest", F.sha2(text, 256)).drop(text)
+    left = digest(rows, "row_text").withColumnRenamed("digest", "own")
+    right = digest(columns, "column_text").withColumnRenamed("j", "i")
+    both = grid.select(*DAY, "prev_day").join(left, DAY).join(right, ["user_id", "prev_day", "i"])
+    unlike = both.filter(F.col("own") != F.col("digest")).groupBy(*DAY).agg(F.min("i").alias("unlike"))
+    fewer = F.least("n_rows", "n_columns") - 1
+    met = grid.join(unlike, DAY, "left").withColumn("head", F.least(F.coalesce("unlike", fewer), fewer))
+    return met.drop("unlike").withColumns(
+        {"n_rows": F.col("n_rows") - F.col("head"), "n_columns": F.col("n_columns") - F.col("head")}
+    )
+
+
+def _sweep(grid: DataFrame, rows: DataFrame, columns: DataFrame, block_chars: int) -> DataFrame:
+    """(user_id, day, distance): the last corner of every pair's table, from the tiles inside the pair's band.
+
+    Works through the anti-diagonals of all pairs; one table of edges for each.
+    """
     spark = grid.sparkSession
+    path = scratch_path(spark, "day-similarity")
+    width = 2 * block_chars * F.least("n_rows", "n_columns")
     size = grid.agg(
         F.max(F.col("n_rows") + F.col("n_columns") - 1).alias("diagonals"),
-        F.sum(F.least("n_rows", "n_columns")).alias("widest"),
+        F.sum(F.least(F.col("chars") + F.col("prev_chars"), width)).alias("work"),
     ).first()
-    n_diagonals = size.diagonals or 0
-    # a task's share is at least one rectangle of the usual size, however small the blocks are
-    shares = (size.widest or 0) * block_chars // ct.CHUNK_CHARS
-    partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shares))
-    for d in range(n_diagonals):
+    # dealt out evenly over a set number of tasks: tiles are small data but long work, so they
+    # must not be packed together by their size
+    partitions = 1 + size.work // min(_TASK_CHARS, 16 * block_chars)
+    off = F.floor(F.col("reach") / block_chars) + 1
+    for d in range(size.diagonals):
+        low = F.greatest(F.lit(0).cast("long"), d - F.col("n_columns") + 1, F.ceil((d - off) / 2))
+        high = F.least(F.lit(d).cast("long"), F.col("n_rows") - 1, F.floor((d + off) / 2))
         here = (
-            grid.filter(F.col("n_rows") + F.col("n_columns") - 1 > d)
-            .withColumn(
-                "i",
-                F.explode(
-                    F.sequence(
-                        F.greatest(F.lit(0).cast("long"), d - F.col("n_columns") + 1),
-                        F.least(F.lit(d).cast("long"), F.col("n_rows") - 1),
-                    )
-                ),
-            )
+            grid.withColumns({"low": low, "high": high})
+            .filter(F.col("low") <= F.col("high"))
+            .withColumn("i", F.explode(F.sequence("low", "high")))
             .withColumn("j", d - F.col("i"))
-            .join(rows, [*DAY, "i"])
-            .join(columns, ["user_id", "prev_day", "j"])
+            .withColumns({"row_no": F.col("i") + F.col("head"), "column_no": F.col("j") + F.col("head")})
+            .join(rows.withColumnRenamed("i", "row_no"), [*DAY, "row_no"])
+            .join(columns.withColumnRenamed("j", "column_no"), ["user_id", "prev_day", "column_no"])
         )
         if d == 0:
-            here = here.withColumns(
-                {"right_edge": F.lit(None).cast("binary"), "bottom_edge": F.lit(None).cast("binary")}
-            )
+            here = here.withColumns({"right": F.lit(None).cast(_EDGE), "bottom": F.lit(None).cast(_EDGE)})
         else:
-            done = spark.read.parquet(f"{path}/d={d - 1}")
-            from_left = done.select(*DAY, "i", F.col("right_edge"))
-            from_above = done.select(*DAY, "j", F.col("bottom_edge"))
-            here = here.join(from_left, [*DAY, "i"], "left").join(from_above, [*DAY, "j"], "left")
-        # dealt out evenly over a set number of tasks: rectangles are small data but long work,
-        # so they must not be packed together by their size
-        here.select(
-            *DAY, "i", "j", "n_columns", "row_text", "column_text", "right_edge", "bottom_edge"
-        ).repartition(partitions).mapInPandas(_solve, _EDGES).write.parquet(f"{path}/d={d}")
-    return n_diagonals
-
-
-_EDGES = (
-    "user_id long, day date, i long, j long, n_columns long, "
-    "rise long, right_edge binary, bottom_edge binary"
-)
-
-
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One rectangle per row; an edge that is missing is the border of the whole table."""
+            done = spark.read.schema(_EDGES).parquet(f"{path}/d={d - 1}")
+            here = here.join(done.select(*DAY, "i", "right"), [*DAY, "i"], "left")
+            here = here.join(done.select(*DAY, "j", "bottom"), [*DAY, "j"], "left")
+        tiles = here.select(
+            *DAY, "i", "j", "reach", F.lit(block_chars).alias("side"), "row_text", "column_text", "right", "bottom"
+        )
+        tiles.repartition(partitions).mapInArrow(_solve, _EDGES).write.parquet(f"{path}/d={d}")
+    solved = spark.read.schema(_EDGES).parquet(*(f"{path}/d={d}" for d in range(size.diagonals)))
+    last = solved.join(grid.select(*DAY, "n_rows", "n_columns"), DAY)
+    last = last.filter((F.col("i") == F.col("n_rows") - 1) & (F.col("j") == F.col("n_columns") - 1))
+    return last.select(*DAY, F.col("corner").alias("distance"))
+
+
+_EDGE = "array<struct<at:bigint,steps:binary>>"
+_EDGES = f"user_id bigint, day date, i bigint, j bigint, corner bigint, right {_EDGE}, bottom {_EDGE}"
+_LISTED = pa.list_(pa.struct([("at", pa.int64()), ("steps", pa.binary())]))
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One tile per row; edges that are missing are the border of the whole table."""
+    kinds = {"i": pa.int64(), "j": pa.int64(), "corner": pa.int64(), "right": _LISTED, "bottom": _LISTED}
     for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            left = None if r.right_edge is None else unpack(r.right_edge)
-            right, bottom = rectangle(r.row_text, r.column_text, left, r.bottom_edge)
-            edge = pack(right, len(r.row_text))
-            out.append((r.user_id, r.day, r.i, r.j, r.n_columns, edge_sum(right), edge, bottom))
-        names = ["user_id", "day", "i", "j", "n_columns", "rise", "right_edge", "bottom_edge"]
-        yield pd.DataFrame(out, columns=names)
+        schema = pa.schema([batch.schema.field("user_id"), batch.schema.field("day"), *kinds.items()])
+        for n in range(batch.num_rows):
+            r = batch.slice(n, 1).to_pylist()[0]
+            left = r["right"] and [e and (e["at"], unpack(e["steps"])) for e in r["right"]]
+            top = r["bottom"] and [e and (e["at"], e["steps"]) for e in r["bottom"]]
+            rows, columns, side = r["row_text"], r["column_text"], min(SIDE, r["side"])
+            right, bottom, corner = tile(rows, columns, left, top, r["i"] * r["side"], r["j"] * r["side"], r["reach"], side)
+            heights = [len(rows[k : k + side]) for k in range(0, len(rows), side)]
+            out = {"user_id": r["user_id"], "day": r["day"], "i": r["i"], "j": r["j"], "corner": corner}
+            out["right"] = [e and {"at": e[0], "steps": pack(e[1], h)} for e, h in zip(right, heights)]
+            out["bottom"] = [e and {"at": e[0], "steps": e[1]} for e in bottom]
+            yield pa.RecordBatch.from_pylist([out], schema)
