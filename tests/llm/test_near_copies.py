@@ -244,3 +244,24 @@ def test_components_of_long_chains(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.root for r in links.components(df).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_removal_touches_only_the_row_that_holds_the_repeat(documents):
+    """Rows without an id, or with one and the same, are documents of their own if their texts differ."""
+    line = " ".join(f"w{i}" for i in range(30))
+    own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    for key in (None, 7):
+        rows = [(key, f"{own[0]}\n{line}"), (key, f"{own[1]}\n{own[2]}"), (8, f"{line}\nshort"), (key, None), (key, "")]
+        docs = documents(rows)
+        held = paragraph_dedup.remove_repeats(docs, paragraph_dedup.repeats(docs)).collect()
+        got = sorted(str((r.doc_id, r.text)) for r in held)
+        stays = {None: [(None, own[0]), (8, f"{line}\nshort")], 7: [(7, f"{own[0]}\n{line}"), (8, "short")]}[key]
+        assert got == sorted(map(str, [*stays, (key, f"{own[1]}\n{own[2]}"), (key, None), (key, "")]))
+
+
+def test_many_stretches_are_cut_out_in_one_pass():
+    text = "ä bc\n" * 100_000
+    starts = list(range(0, len(text), 5))
+    made = paragraph_dedup._without(text, starts, [s + 2 for s in starts], {0, 3})
+    assert made == "bc\n" * 99_998
+    assert paragraph_dedup._without("abcdef", [1, 2], [4, 3], set()) == "aef"

@@ -14,9 +14,9 @@ found: each window of ``PASSAGE`` words has as its key the least hash of the ``U
 windows have equal keys. Keys are few, as neighbouring windows share them; only windows whose key occurs twice
 are compared, by hashes of 128 bits.
 
-Null and empty texts have no paragraphs. Rows that share a ``doc_id`` are taken as one document: a
-paragraph at the same position of a repeated row is the same occurrence. A null ``doc_id`` sorts last.
-Other columns are ignored.
+Null and empty texts have no paragraphs. A document is known by its ``doc_id`` and a hash of its text,
+``text_hash``: rows that share an id, or have none, with different texts are documents of their own, and
+only rows equal in both are one. A null ``doc_id`` sorts last. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from userbaseline.llm import wordhash as wh
@@ -39,11 +40,26 @@ K = 5
 PASSAGE, UNIT = 50, 20
 FETCH_BY_BROADCAST = 500_000
 
+DOC = ["doc_id", "text_hash"]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("text_hash"))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    return left.doc_id.eqNullSafe(right.doc_id) & (left.text_hash == right.text_hash)
+
+
 _seeds = wh.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _paragraphs(batches: Iterator[pa.RecordBatch], min_words: int):
-    """For each slice: ids, document and line number, first and end byte, words, shingles and owners."""
+    """For each slice: ids and text hashes, document and line number, first and end byte, words, shingles and owners."""
     for batch in batches:
         for row, end, data, offsets in wh.slices(batch.column(1)):
             bounds, doc = wh.lines(data, offsets)
@@ -56,7 +72,8 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], min_words: int):
             part = wh.Words(word.hash[chosen], word.start[chosen], word.end[chosen], new[word.unit[chosen]])
             found, owner = wh.distinct(*wh.windows(part, K, int(keep.sum())))
             lines = np.flatnonzero(keep)
-            yield batch.column(0).slice(row, end - row), doc[lines], number[lines], held[lines], found, owner
+            ids = [batch.column(c).slice(row, end - row) for c in (0, 2)]
+            yield ids, doc[lines], number[lines], held[lines], found, owner
 
 
 def minhash_bands(found: np.ndarray, owner: np.ndarray, units: int) -> np.ndarray:
@@ -75,7 +92,7 @@ def minhash_bands(found: np.ndarray, owner: np.ndarray, units: int) -> np.ndarra
 
 
 def _occurrences(min_words: int):
-    schema = "doc_id long, paragraph long, n_words long, n long, c1 long, c2 long, bands array<long>, sketch array<long>"
+    schema = "doc_id long, text_hash long, paragraph long, n_words long, n long, c1 long, c2 long, bands array<long>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -98,7 +115,7 @@ def _occurrences(min_words: int):
             parity, bounds = bit_sketches(found[chosen], owner[chosen], np.where(fresh, size, 0))
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(doc)).cast(pa.int64()),
+                    *(c.take(pa.array(doc)).cast(pa.int64()) for c in ids),
                     pa.array(number.astype(np.int64)),
                     pa.array(held.astype(np.int64)),
                     pa.array(size),
@@ -107,7 +124,7 @@ def _occurrences(min_words: int):
                     pa.ListArray.from_arrays(pa.array(ends), wh.signed(bands.ravel())),
                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), wh.signed(parity)),
                 ],
-                ["doc_id", "paragraph", "n_words", "n", "c1", "c2", "bands", "sketch"],
+                [*DOC, "paragraph", "n_words", "n", "c1", "c2", "bands", "sketch"],
             )
 
     return run, schema
@@ -128,10 +145,10 @@ def _set_rows(min_words: int):
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, share: int = 75) -> DataFrame:
-    """One row for each removed paragraph: doc_id, paragraph (line number from 0), n_words, and the
+    """One row for each removed paragraph: doc_id, text_hash, paragraph (line number from 0), n_words, and the
     paragraph that stays, kept_doc_id and kept_paragraph, with n_members of its component."""
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = _documents(docs)
     found = cut(docs.mapInArrow(*_occurrences(min_words)))
     buckets = found.select(F.explode("bands").alias("sig"), F.col("c1").alias("node"), "n")
 
@@ -144,31 +161,24 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, share: int
     sketches = found.filter(F.size("sketch") > 0).select(F.col("c1").alias("node"), "sketch")
     labels = linked_components(buckets, sketches, sets_of, share)
     # equal sets are one class whether or not they link with another
-    placed = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "paragraph")
+    placed = F.struct(F.col("doc_id").isNull().alias("last"), *DOC, "paragraph")
     classes = found.groupBy(F.col("c1").alias("node")).agg(F.min(placed).alias("first"), F.count("*").alias("k"))
     labelled = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = cut(labelled)
     kept = labelled.groupBy("root").agg(F.min("first").alias("kept"), F.sum("k").alias("n_members"))
     kept = labelled.select("node", "root").join(kept.filter("n_members > 1"), "root")
-    met = found.select("doc_id", "paragraph", "n_words", F.col("c1").alias("node")).join(kept, "node")
-    return met.filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("paragraph") == F.col("kept.paragraph")))).select(
-        "doc_id", "paragraph", "n_words",
+    met = found.select(*DOC, "paragraph", "n_words", F.col("c1").alias("node")).join(kept, "node")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    return met.filter(~(stays & (F.col("paragraph") == F.col("kept.paragraph")))).select(
+        *DOC, "paragraph", "n_words",
         F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").alias("kept_paragraph"), "n_members",
     ).distinct()
 
 
 def remove_paragraphs(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` with the paragraphs of ``removed`` taken out of their texts; nulls stay null."""
-    gone = removed.groupBy("doc_id").agg(F.collect_set("paragraph").alias("__gone"))
-    lines = F.split("text", "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.array_except(numbers, F.transform("__gone", lambda x: x.cast("int")))
-    joined = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left").drop(gone.doc_id)
-    joined = joined.withColumn("__lines", lines).withColumn("__kept", kept)
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
-    )
-    return joined.withColumn("text", text).drop("__gone", "__lines", "__kept")
+    none = F.lit(None).cast("long")
+    return remove_repeats(docs, removed.select(*DOC, "paragraph", none.alias("start"), none.alias("end")))
 
 
 def _sliding(ufunc: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
@@ -218,11 +228,12 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, end - row).take(pa.array(texts.word.unit[at])).cast(pa.int64()),
+                        batch.column(2).slice(row, end - row).take(pa.array(texts.word.unit[at])),
                         wh.signed(texts.units[at]),
                         pa.array(texts.line[at].astype(np.int32)),
                         pa.array(texts.line[at + UNIT - 1].astype(np.int32)),
                     ],
-                    ["doc_id", "key", "line", "to_line"],
+                    [*DOC, "key", "line", "to_line"],
                 )
 
 
@@ -236,10 +247,10 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.zeros(len(word.hash), bool)
             bounds = np.searchsorted(word.unit, np.arange(end - row + 1))
             for u in range(end - row):
-                keys = batch.column(2)[row + u].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                keys = batch.column(3)[row + u].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 here = slice(bounds[u], min(bounds[u + 1], len(wanted)))
                 wanted[here] &= np.isin(texts.keys[here], keys)
-                lines = batch.column(3)[row + u].values
+                lines = batch.column(4)[row + u].values
                 if lines is not None and len(lines):
                     here = slice(bounds[u], bounds[u + 1])
                     gone[here] = np.isin(texts.line[here], lines.to_numpy(zero_copy_only=False))
@@ -259,57 +270,60 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(row, end - row).take(pa.array(unit)).cast(pa.int64()),
+                    batch.column(2).slice(row, end - row).take(pa.array(unit)),
                     pa.array(at - bounds[unit]),
                     pa.array(points[word.start[at]] - points[offsets[unit]]),
                     pa.array(points[word.end[at + PASSAGE - 1]] - points[offsets[unit]]),
                     *hashes,
                 ],
-                ["doc_id", "at", "start", "end", "h1", "h2"],
+                [*DOC, "at", "start", "end", "h1", "h2"],
             )
 
 
 def repeated_passages(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """One row for each run of words outside the paragraphs of ``removed`` whose every window of ``PASSAGE``
-    words occurs first in one document: doc_id, start and end (code points of the text), n_words, kept_doc_id and
-    kept_start, where the run's first window stays, and n_members, how often that window occurs."""
+    words occurs first in one document: doc_id, text_hash, start and end (code points of the text), n_words,
+    kept_doc_id and kept_start, where the run's first window stays, and n_members, how often that window occurs."""
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    gone = cut(removed.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.col("paragraph").cast("int")).alias("gone")))
-    keys = cut(docs.mapInArrow(_key_rows, "doc_id long, key long, line int, to_line int"))
+    docs = _documents(docs)
+    gone = cut(removed.groupBy(*DOC).agg(F.collect_set(F.col("paragraph").cast("int")).alias("gone")))
+    keys = cut(docs.mapInArrow(_key_rows, "doc_id long, text_hash long, key long, line int, to_line int"))
 
     def shared(rows: DataFrame) -> DataFrame:
         twice = cut(rows.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"))
         return rows.join(twice, "key", "left_semi")
 
-    met = shared(keys).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    some = shared(keys)
+    met = some.join(gone, _same(some, gone), "left").select(some["*"], "gone")
     touched = F.exists("gone", lambda x: (x >= F.col("line")) & (x <= F.col("to_line")))
-    left = cut(met.filter(F.col("gone").isNull() | ~touched).select("doc_id", "key"))
-    wanted = shared(left).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("keys"))
-    wanted = cut(wanted.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "keys", "gone"))
-    ids = broadcast_if_small(cut(wanted.select(F.col("id").alias("wanted_id"))), FETCH_BY_BROADCAST)
-    held = docs.join(ids, docs.doc_id.eqNullSafe(ids.wanted_id), "left_semi")
-    held = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
-    schema = "doc_id long, at long, start long, end long, h1 long, h2 long"
-    windows = cut(held.select("doc_id", "text", "keys", "gone").mapInArrow(_window_rows, schema))
-
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "start")
+    left = cut(met.filter(F.col("gone").isNull() | ~touched).select(*DOC, "key"))
+    wanted = shared(left).groupBy(*DOC).agg(F.collect_set("key").alias("keys"))
+    wanted = cut(wanted.join(gone, _same(wanted, gone), "left").select(wanted["*"], "gone"))
+    ids = broadcast_if_small(cut(wanted.select(*DOC)), FETCH_BY_BROADCAST)
+    held = docs.join(ids, _same(docs, ids), "left_semi")
+    held = held.join(wanted, _same(held, wanted)).select(held["*"], "keys", "gone")
+    schema = "doc_id long, text_hash long, at long, start long, end long, h1 long, h2 long"
+    windows = cut(held.mapInArrow(_window_rows, schema))
+
+    place = F.struct(F.col("doc_id").isNull().alias("last"), *DOC, "at", "start")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_members"))
     met = windows.join(cut(first.filter("n_members > 1")), ["h1", "h2"])
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
-    met = met.filter(later).select(
-        "doc_id", "at", "start", "end", F.col("first.doc_id").alias("kept_doc_id"),
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    met = met.filter(~(stays & (F.col("at") == F.col("first.at")))).select(
+        *DOC, "at", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.text_hash").alias("kept_hash"),
         F.col("first.start").alias("kept_start"), "n_members",
     ).distinct()
     # windows that follow one another, of one document each time
-    order = Window.partitionBy("doc_id", "kept_doc_id").orderBy("at")
+    kept = [*DOC, "kept_doc_id", "kept_hash"]
+    order = Window.partitionBy(*kept).orderBy("at")
     runs = met.withColumn("run", F.col("at") - F.dense_rank().over(order))
     begin = F.min(F.struct("at", "kept_start", "n_members")).alias("begin")
-    runs = runs.groupBy("doc_id", "kept_doc_id", "run").agg(
+    runs = runs.groupBy(*kept, "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
         (F.max("at") - F.min("at") + PASSAGE).alias("n_words"), begin,
     )
     return runs.select(
-        "doc_id", "start", "end", "n_words", "kept_doc_id",
+        *DOC, "start", "end", "n_words", "kept_doc_id",
         F.col("begin.kept_start").alias("kept_start"), F.col("begin.n_members").alias("n_members"),
     )
 
@@ -321,21 +335,35 @@ def repeats(docs: DataFrame) -> DataFrame:
     return removed.unionByName(repeated_passages(docs, removed), allowMissingColumns=True)
 
 
+def _without(text: str, starts: list[int], ends: list[int], gone: set[int]) -> str:
+    """The text without these stretches, except for their line breaks, and then without the lines ``gone``."""
+    if len(starts):
+        out, at = [], 0
+        for begin, end in sorted(zip(starts, ends)):
+            begin, end = max(begin, at), max(end, at)
+            out += text[at:begin], "\n" * text.count("\n", begin, end)
+            at = end
+        text = "".join([*out, text[at:]])
+    if gone:
+        text = "\n".join([line for i, line in enumerate(text.split("\n")) if i not in gone])
+    return text
+
+
 def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the paragraphs and passages of ``found``, as `repeats` gives it. Line breaks inside a
-    passage stay, so that lines keep their numbers."""
-    spans = found.filter("start is not null").groupBy(F.col("doc_id").alias("__id"))
-    spans = spans.agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    text = F.col("text")
-
-    def step(acc, s):
-        begin, end = F.greatest(acc.at, s.start), F.greatest(acc.at, s.end)
-        breaks = F.regexp_replace(F.substr(text, (begin + 1).cast("int"), (end - begin).cast("int")), "[^\n]+", "")
-        kept = F.substr(text, (acc.at + 1).cast("int"), (begin - acc.at).cast("int"))
-        return F.struct(end.alias("at"), F.concat(acc.out, kept, breaks).alias("out"))
-
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("__spans", none, step, lambda acc: F.concat(acc.out, F.substr(text, (acc.at + 1).cast("int"))))
-    joined = docs.join(spans, docs.doc_id.eqNullSafe(F.col("__id")), "left")
-    joined = joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(done)).drop("__id", "__spans")
-    return remove_paragraphs(joined, found.filter("paragraph is not null"))
+    passage stay, so that lines keep their numbers. Only rows whose id and text are those found
+    change; null texts stay null."""
+    ship(docs.sparkSession)
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    gone = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = gone.agg(F.collect_set(span).alias("__spans"), F.collect_set("paragraph").alias("__lines"))
+
+    @F.pandas_udf("string")
+    def cut_out(text: pd.Series, starts: pd.Series, ends: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([_without(t, a, b, {*c}) for t, a, b, c in zip(text, starts, ends, lines)], dtype=object)
+
+    met = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__id")) & (text_hash() == F.col("__hash")), "left")
+    found_here = F.col("__id").isNotNull() | F.col("__hash").isNotNull()
+    none = lambda c: F.coalesce(c, F.array().cast("array<long>"))
+    made = cut_out(F.coalesce("text", F.lit("")), none("__spans.start"), none("__spans.end"), none("__lines"))
+    return met.withColumn("text", F.when(found_here & F.col("text").isNotNull(), made).otherwise(F.col("text"))).drop("__id", "__hash", "__spans", "__lines")
