@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -56,6 +57,32 @@ def test_overlapping_periods_repeat_a_session_only_when_asked(sessions, periods)
     assert ids(kept) == [1, 1, 2, 4, 5]
 
 
+def test_many_periods_of_one_project(spark):
+    """10,000 periods, overlapping, touching, empty and long ones: rows compared stay near rows out."""
+    rnd = random.Random(5)
+    at = lambda minutes: T(2020, 1, 1) + dt.timedelta(minutes=minutes)
+    spans = []
+    for _ in range(10_000):
+        begin = rnd.randrange(2_000_000)
+        spans.append((begin, begin + rnd.choice([0, 3, 40, 500, -5])))
+    spans += [(2_100_000, 2_400_000), (2_400_000, 2_400_100), (2_600_000, 10**9)]
+    periods = spark.createDataFrame([(1, at(a), at(b)) for a, b in spans], "project_id long, start_date timestamp_ntz, end_date timestamp_ntz")
+    starts = [rnd.randrange(3_000_000) for _ in range(1_500)]
+    rows = [(i, 1 if i % 10 else 2, at(m), at(m).strftime("%Y%m%d%H")) for i, m in enumerate(starts)]
+    sessions = spark.createDataFrame(rows, "session_id long, project_id long, start_ts timestamp_ntz, stamp string")
+    inside = {i: [s for s in spans if s[0] <= m <= s[1]] for i, m in enumerate(starts) if i % 10}
+    assert ids(enrich.in_opt_in(sessions, periods, "2030-01-01 00:00:00")) == sorted(i for i, found in inside.items() if found)
+    repeated = enrich.in_opt_in(sessions, periods, "2030-01-01 00:00:00", dedupe=False)
+    assert ids(repeated) == sorted(i for i, found in inside.items() for _ in found)
+    # disjoint stretches in all
+    merged = sorted((r.start_date, r.end_date) for r in enrich.disjoint_periods(periods).collect())
+    assert all(a[1] < b[0] for a, b in zip(merged, merged[1:]))
+    # by day a session meets few of them
+    short, long_ = enrich._by_days(enrich.disjoint_periods(periods))
+    assert short.groupBy("project_id", "met").count().agg(F.avg("count")).first()[0] < 12
+    assert long_.groupBy("project_id", "met").count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_geo_uses_the_shared_rows_only(spark, sessions):
     ips = spark.createDataFrame(
         [(0, 0, "A"), (1, 1, "decoy")], "ip_id long, ip_project_id long, country_name string"

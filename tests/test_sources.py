@@ -1,9 +1,12 @@
 import datetime as dt
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from userbaseline.operators import features
 from userbaseline.session import cut, shared_dir
-from userbaseline.sources import event_log, readers
+from userbaseline.sources import event_log, readers, writers
 from userbaseline.streaming import sessions as streaming
 
 T = dt.datetime
@@ -142,3 +145,29 @@ def test_a_cut_keeps_rows_and_schema(spark, events):
     assert kept.schema == events.schema
     assert sorted(kept.collect()) == sorted(events.collect())
     assert kept.inputFiles()[0].startswith(("file:", "/"))
+
+
+def test_sorted_files_follow_one_another(spark, tmp_path):
+    rows = spark.range(5_000).select((F.col("id") * 37 % 101).alias("day"), F.when(F.col("id") % 50 > 0, F.col("id") % 50).alias("user_id"), "id")
+    path = str(tmp_path / "sorted")
+    writers.write_sorted(rows, path, ["day", "user_id"], rows_per_file=600)
+    placed = writers.in_written_order(spark, path).orderBy("place").collect()
+    keys = [(r.day, r.user_id is not None, r.user_id or 0) for r in placed]
+    assert [r.place for r in placed] == list(range(5_000)) and keys == sorted(keys)
+    files = sorted(p for p in os.listdir(path) if p.endswith(".parquet"))
+    assert len(files) > 5
+    ends = []
+    for name in files:
+        held = [(r.day, r.user_id is not None, r.user_id or 0) for r in spark.read.parquet(f"{path}/{name}").collect()]
+        ends.append((min(held), max(held)))
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_user_sketches_merge_within_two_percent(spark):
+    sessions = spark.range(200_000).select(
+        (F.col("id") % 60_000).alias("user_id"), F.expr("date_add(date'2024-01-01', cast(id % 7 as int))").alias("day")
+    ).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS user_id, date'2024-01-01' AS day"))
+    sketches = features.user_sketches(sessions)
+    assert sketches.count() == 7
+    estimate = features.users_of_sketches(sketches).first().estimate
+    assert abs(estimate - 60_000) < 0.02 * 60_000

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from userbaseline.functions import scalars
@@ -59,9 +60,33 @@ def with_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
     return rows.join(projects, "project_id")
 
 
-def _inside_period(as_of: Column) -> Column:
-    start = scalars.session_start_minute(F.col("stamp"), F.col("start_ts"))
-    return start.between(F.col("start_date"), F.coalesce(F.col("end_date"), as_of))
+#: periods of up to so many days are met by day, longer ones by stretches of so many days
+ERA_DAYS = 64
+
+
+def disjoint_periods(periods: DataFrame) -> DataFrame:
+    """(project_id, start_date, end_date): the periods of each project with those that overlap or touch made one.
+    Periods without an end, or that end before they start, are left out."""
+    inner = W.partitionBy("project_id").orderBy("start_date", "end_date")
+    reach = F.max("end_date").over(inner.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(F.col("start_date") <= reach, 0).otherwise(1)
+    held = periods.filter(F.col("start_date") <= F.col("end_date"))
+    numbered = held.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(inner))
+    return (
+        numbered.groupBy("project_id", "stretch")
+        .agg(F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"))
+        .drop("stretch")
+    )
+
+
+def _by_days(periods: DataFrame, end: str = "end_date") -> tuple[DataFrame, DataFrame]:
+    """The short periods with a row for each ``met`` day, and the long ones with a row for each stretch of
+    days, so that a session is compared with those of its own days only."""
+    first, last = (F.unix_date(F.col(c).cast("date")) for c in ("start_date", end))
+    closed = periods.filter(F.col("start_date") <= F.col(end))
+    short = closed.filter(last - first < ERA_DAYS).withColumn("met", F.explode(F.sequence(first, last)))
+    eras = F.sequence(F.floor(first / ERA_DAYS), F.floor(last / ERA_DAYS))
+    return short, closed.filter(last - first >= ERA_DAYS).withColumn("met", F.explode(eras))
 
 
 def in_opt_in(
@@ -70,16 +95,29 @@ def in_opt_in(
     """Sessions that began inside an opt-in period of their project, both ends included.
 
     An open period ends at ``as_of`` (now, when None). With ``dedupe=False`` a session inside
-    several periods appears once per period, with the period's columns.
+    several periods appears once per period, with the period's columns. Periods are met by project and
+    day; without repetition they are made disjoint first, so that a session meets one at most.
     """
     now = F.current_timestamp() if as_of is None else F.lit(as_of)
-    s, p = sessions.alias("s"), periods.alias("p")
-    condition = (F.col("s.project_id") == F.col("p.project_id")) & _inside_period(
-        now.cast("timestamp_ntz")
-    )
+    until = F.coalesce("end_date", now.cast("timestamp_ntz"))
+    if dedupe:
+        periods = disjoint_periods(periods.select("project_id", "start_date", until.alias("end_date")))
+    short, long_ = _by_days(periods.withColumn("until", until), "until")
+    s = sessions.alias("s")
+    start = scalars.session_start_minute(F.col("s.stamp"), F.col("s.start_ts"))
+    day = F.unix_date(start.cast("date"))
+
+    def met(name: str, bucket: Column) -> Column:
+        within = start.between(F.col(f"{name}.start_date"), F.col(f"{name}.until"))
+        return (F.col("s.project_id") == F.col(f"{name}.project_id")) & (bucket == F.col(f"{name}.met")) & within
+
+    by_day, by_era = met("short", day), met("long", F.floor(day / ERA_DAYS))
+    short, long_ = short.alias("short"), long_.alias("long")
     if dedupe:
-        return s.join(p, condition, "left_semi")
-    return s.join(p, condition).select("s.*", "p.start_date", "p.end_date")
+        both = s.join(short, by_day, "left").join(long_, by_era, "left")
+        return both.filter(F.col("short.met").isNotNull() | F.col("long.met").isNotNull()).select("s.*")
+    near = s.join(short, by_day).select("s.*", "short.start_date", "short.end_date")
+    return near.unionAll(s.join(long_, by_era).select("s.*", "long.start_date", "long.end_date"))
 
 
 def with_geo(sessions: DataFrame, ips: DataFrame) -> DataFrame:

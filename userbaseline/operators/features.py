@@ -35,6 +35,23 @@ def observed_day_count(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("user_id").agg(F.count_distinct("day").alias("days"))
 
 
+#: log2 of a sketch's registers: standard error 1.04 / √2¹⁴ = 0.8 percent
+SKETCH_BITS = 14
+
+
+def user_sketches(sessions: DataFrame) -> DataFrame:
+    """(day, users): a mergeable sketch of each day's distinct users, for counts over any span of days
+    without reading the sessions again. Sessions without a user do not count."""
+    users = F.hll_sketch_agg("user_id", F.lit(SKETCH_BITS))
+    return sessions.filter(F.col("user_id").isNotNull()).groupBy("day").agg(users.alias("users"))
+
+
+def users_of_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, estimate): about how many distinct users the days of each group have together."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("users"))
+    return sketches.groupBy(*keys).agg(merged.alias("estimate"))
+
+
 def sessions_per_day(sessions: DataFrame) -> DataFrame:
     """Feature 1. Days without a session have no row."""
     return sessions.groupBy("user_id", "day").agg(

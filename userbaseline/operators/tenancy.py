@@ -27,8 +27,9 @@ def project_rows(facts: DataFrame, project_ids: Sequence[int]) -> DataFrame:
 
 
 def rows_of_projects(facts: DataFrame, projects: DataFrame) -> DataFrame:
-    """Rows of a set of projects given as a table."""
-    return facts.join(projects.select("project_id"), "project_id", "left_semi")
+    """Rows of a set of projects given as a table. Of facts in folders by project only the folders of these
+    projects are read: Spark finds them from the small table while the query runs."""
+    return facts.join(projects.select("project_id").distinct(), "project_id").select(*facts.columns)
 
 
 def rows_of_user(facts: DataFrame, user_id: int) -> DataFrame:

@@ -27,7 +27,7 @@ from userbaseline.operators import (
 )
 from userbaseline.plans import behaviour, readable
 from userbaseline.session import cut, scratch_path
-from userbaseline.sources import event_log, readers, tenants
+from userbaseline.sources import event_log, readers, tenants, writers
 from userbaseline.streaming import sessions as streaming
 
 TEST_FROM = "2024-01-16"
@@ -209,8 +209,7 @@ def tenant_partition_filter(t: Inputs) -> DataFrame:
     schema = "session_id long, user_id long, project_id long"
     stored = t.spark.read.schema(schema).parquet(path)
     projects = tenancy.company_projects(t.companies, t.projects, ["AFRICA"])
-    # the projects of a company are few; as literals they choose folders before the scan
-    rows = tenancy.project_rows(stored, [r.project_id for r in projects.select("project_id").collect()])
+    rows = tenancy.rows_of_projects(stored, projects)
     return rows.select("session_id", "project_id", "user_id")
 
 
@@ -390,6 +389,24 @@ def distinct_user_count(t: Inputs) -> DataFrame:
     return features.user_count(t.sessions)
 
 
+@_query
+def users_by_week_sketch(t: Inputs) -> DataFrame:
+    """Users of each week from daily sketches, within 2 percent of the exact count."""
+    week = F.trunc("day", "week").alias("week")
+    merged = features.users_of_sketches(features.user_sketches(t.sessions).withColumn("week", week), "week")
+    exact = t.sessions.groupBy(week).agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("estimate") - F.col("users")) <= 0.02 * F.col("users")
+    return exact.join(merged, "week").select("week", "users", near.alias("near"))
+
+
+@_query
+def sorted_sessions_per_day(t: Inputs) -> DataFrame:
+    """A sorted sink: every row with its place among the rows of all files, as they lie there."""
+    path = scratch_path(t.spark, "sorted")
+    writers.write_sorted(t.sessions_per_day, path, ["day", "user_id"], rows_per_file=500)
+    return writers.in_written_order(t.spark, path).select("day", "user_id", "sessions_per_day", "place")
+
+
 @_query
 def distinct_users(t: Inputs) -> DataFrame:
     return features.distinct_users(t.sessions)

@@ -500,6 +500,16 @@ def oracle_sql() -> dict[str, str]:
     q["tenant_key_decrypt"] = _with("SELECT project_id, id, value FROM dict", "dict")
 
     q["distinct_user_count"] = _with("SELECT count(DISTINCT user_id) AS users FROM sess", "sess")
+    q["users_by_week_sketch"] = _with(
+        """SELECT strftime(date_trunc('week', dy), '%Y-%m-%d') AS week, count(DISTINCT user_id) AS users, true AS near
+        FROM sess GROUP BY ALL""",
+        "sess",
+    )
+    q["sorted_sessions_per_day"] = _with(
+        f"""SELECT user_id, {d} AS day, v AS sessions_per_day,
+        row_number() OVER (ORDER BY dy, user_id NULLS FIRST) - 1 AS place FROM s_sessions""",
+        "s_sessions",
+    )
     q["distinct_users"] = _with("SELECT DISTINCT user_id FROM sess", "sess")
     q["distinct_sessions"] = _with("SELECT DISTINCT session_id FROM sess", "sess")
     q["observed_days"] = _with(f"SELECT DISTINCT user_id, {d} AS day FROM sess", "sess")
