@@ -124,6 +124,22 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "p", 0) for r in rows], "page_id long, url string, html string, payload string, digest int")
 
 
+def test_many_candidates_in_a_text(documents):
+    """Spans over the borders of portions; the weak kinds beside them, covered or not."""
+    size = 60_000
+    keys = [f"AKIA{i:016d}" for i in range(size)]
+    weak = [f"sk-{i:020d}" for i in range(size)]
+    text = " ".join(f"{a} {b} token={b}" for a, b in zip(keys, weak))
+    docs = documents([(1, text), (2, f"é {keys[3]} x"), (3, keys[0][:15] + " " + "0a" * 15)])
+    got = {r.doc_id: r for r in secret_frequency.secret_spans(docs).collect()}
+    one = got[1]
+    assert (one.n_assign, one.n_access, one.n_hex) == (size, size, 0)
+    assert [(s.start, s.end) for s in one.base if s.kind == 1] == [m.span() for m in re.finditer(r"AKIA\d+", text)]
+    # a weak span inside an assignment is covered; the same value outside one is not
+    assert [(s.start, s.end) for s in one.spans if s.kind == 3] == [m.span() for m in re.finditer(r"(?<!=)sk-\d+", text)]
+    assert [(s.start, s.kind, s.end) for s in got[2].spans] == [(2, 1, 22)] and not got[3].spans
+
+
 def test_warc(spark):
     big, other = "é" * 500 + "tail", "b" * 1000
     rows = [(1, "u1", big), (5, "u5", big), (3, None, big), (2, "u\r\nWARC-Type: x", "small"), (4, "", "small")]
