@@ -210,8 +210,8 @@ def test_short_items_with_replaced_tokens(documents, spark):
 def test_long_items_agree_by_chance(documents, spark):
     """Agreements all over a long item are no overlap, those around a hit are."""
     rnd = random.Random(9)
-    item = [f"w{rnd.randrange(40)}" for _ in range(4000)]
-    by_chance = [f"w{rnd.randrange(40)}" for _ in range(4000)]
+    item = [f"w{rnd.randrange(150)}" for _ in range(4000)]
+    by_chance = [f"w{rnd.randrange(150)}" for _ in range(4000)]
     by_chance[700:712] = item[900:912]
     item_at = 2500
     passage = [f"v{k}" for k in range(300)] + item[item_at : item_at + 18] + [f"v{k}" for k in range(600)]

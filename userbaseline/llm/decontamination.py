@@ -37,7 +37,7 @@ MASKS = ["1101100101", "1110010011", "10110011001"]
 #: fixed masks of four tokens over windows of four or five, for items below `LONG_ITEM` tokens
 SHORT_MASKS = ["1111", "11011", "10111", "11101"]
 LONG_ITEM = 17
-MATCHED, SHARE, STRETCH = 16, 80, 32
+MATCHED, SHARE, STRETCH = 16, 80, 64
 #: tokens of a text that are compared in one row
 BLOCK = 512
 #: windows of the benchmark that may be broadcast: 24 bytes each
