@@ -6,6 +6,7 @@ Every query reads whole tables of the folder. Dates and times are shown as text
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
@@ -25,7 +26,7 @@ from userbaseline.operators import (
     similarity,
     tenancy,
 )
-from userbaseline.plans import behaviour, readable
+from userbaseline.plans import behaviour, daily, readable
 from userbaseline.session import cut, scratch_path
 from userbaseline.sources import event_log, readers, tenants, writers
 from userbaseline.streaming import sessions as streaming
@@ -665,6 +666,20 @@ def flag_matrix_frozen(t: Inputs) -> DataFrame:
     )
 
 
+@_query
+def flags_incremental(t: Inputs) -> DataFrame:
+    """The flag matrix from a first delivery and four days after it, one by one, the second of them late."""
+    path = scratch_path(t.spark, "daily")
+    for name, rows in (("sessions", t.sessions), ("commands", t.labelled)):
+        rows.write.partitionBy("day").parquet(f"{path}/log/{name}")
+    sessions, commands = (t.spark.read.parquet(f"{path}/log/{name}") for name in ("sessions", "commands"))
+    first, last = sessions.agg(F.min("day"), F.max("day")).first()
+    back = [last - dt.timedelta(days=n) for n in range(5)]
+    for step, (since, until) in enumerate([(first, back[4]), *((d, d) for d in (back[3], back[1], back[2], back[0]))]):
+        daily.advance(t.spark, path, step, sessions, commands, since, until, lateness=1)
+    return daily.current(t.spark, path)
+
+
 @_query
 def flag_matrix_opted_in(t: Inputs) -> DataFrame:
     """The whole way: servers, projects, opt-in periods, commands of the allowed sessions, flags."""

@@ -619,6 +619,7 @@ def oracle_sql() -> dict[str, str]:
     sql, needs = _matrix("b", "week_v")
     q["flag_matrix"] = _with(sql, *needs)
     q["flag_matrix_modelled"] = q["flag_matrix"]
+    q["flags_incremental"] = q["flag_matrix"]
     q["day_verdict_from_csv"] = _with(
         f"""SELECT user_id, day, CASE WHEN bad_cmd = 1 THEN 'ANOMALY' ELSE 'NORMAL' END AS prediction FROM ({sql})""", *needs
     )
