@@ -74,20 +74,77 @@ def test_outliers(documents, spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], documents(rows[:1]).schema)).collect() == []
 
 
+MEASURES = "grp string, x0 double, x1 double, x2 double, x3 double, v0 double, v1 double, v2 double, v3 double"
+
+
 def test_estimate_resists_outliers(spark):
     """The centre and spread are those of the clean three quarters and not of all rows."""
     rng = np.random.default_rng(0)
     clean = rng.normal([1.5, 0.5, 0.6, 0.7], [0.3, 0.2, 0.25, 0.2], (3000, 4))
     junk = rng.normal([3.0, 1.4, 1.4, 1.4], 0.05, (600, 4))
-    rows = [("g", *map(float, x)) for x in np.vstack([clean, junk])]
-    df = spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double")
-    found = quality_rules.minimum_covariance(df).collect()
+    rows = [("g", *map(float, x), *[0.01] * 4) for x in np.vstack([clean, junk])]
+    found = quality_rules.minimum_covariance(spark.createDataFrame(rows, MEASURES)).collect()
     assert len(found) == 1
     assert np.allclose(found[0]["mean"], [1.5, 0.5, 0.6, 0.7], atol=0.03)
-    cov = np.linalg.inv(np.array(found[0].inverse).reshape(4, 4)) - np.diag(np.square(quality_rules.FLOORS))
+    cov = np.array(found[0]["cov"]).reshape(4, 4)
     assert np.allclose(np.sqrt(np.diag(cov)), [0.3, 0.2, 0.25, 0.2], rtol=0.2)
 
 
+def brute_estimate(x, errors):
+    """Concentration steps on all rows in memory, from the same two starts, until nothing changes."""
+    centre = np.median(x, 0)
+    scale = np.sqrt(np.maximum((np.subtract(*np.percentile(x, [75, 25], axis=0)) / 1.349) ** 2, errors))
+    damped = np.cov(np.tanh((x - centre) / scale).T, bias=True) * np.outer(scale, scale)
+    found = []
+    for cov in (np.diag(scale**2), damped):
+        mean, kept = centre, None
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + np.diag(errors)), x - mean)
+            now = np.sort(np.argsort(d, kind="stable")[: int(np.ceil(0.75 * len(x)))])
+            if kept is not None and (now == kept).all():
+                break
+            kept, mean, cov = now, x[now].mean(0), np.cov(x[now].T, bias=True) * quality_rules.CONSISTENCY
+        found.append((np.linalg.slogdet(cov + np.diag(errors))[1], mean, cov))
+    return min(found, key=lambda f: f[0])
+
+
+def test_estimates_of_groups_are_those_of_plain_numpy(spark):
+    """Groups of unlike spread, one without any spread in two measures, each settle on their own."""
+    rng = np.random.default_rng(5)
+    groups, rows = {}, []
+    for g, (size, spread) in enumerate([(900, [0.05, 0.02, 0.1, 0.1]), (400, [0.3, 0.2, 0.2, 0.1]), (500, [0.1, 0, 0, 0.05])]):
+        x = rng.normal(0, 1, (size, 4)) @ (np.eye(4) + 0.3 * np.ones((4, 4))) * spread + [1.6, 0, 0.2, 0.1]
+        x[: size // 9] += [0.8, 0.5, 0, 0.3]
+        v = np.full((size, 4), [0.002, 0.0004, 0.02, 0.01])
+        groups[f"g{g}"] = brute_estimate(x, v.mean(0))
+        rows += [(f"g{g}", *map(float, a), *map(float, b)) for a, b in zip(x, v)]
+    found = quality_rules.minimum_covariance(spark.createDataFrame(rows, MEASURES)).collect()
+    assert len(found) == 3
+    for r in found:
+        logdet, mean, cov = groups[r.grp]
+        assert np.allclose(r["mean"], mean, atol=0.1 * np.sqrt(np.diag(cov) + [0.002, 0.0004, 0.02, 0.01]))
+        mine = np.array(r["cov"]).reshape(4, 4) + np.diag([0.002, 0.0004, 0.02, 0.01])
+        assert abs(np.linalg.slogdet(mine)[1] - logdet) < 0.15
+
+
+def test_verdicts_follow_the_size_of_a_text(documents):
+    """A few signs tell in a long text and not in a short one; distances are those of plain numpy."""
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd, rnd.randrange(40, 120)), "en", "s") for i in range(600)]
+    rows += [(1000, prose(rnd, 40) + " #", "en", "s"), (1001, prose(rnd, 2000) + " #" * 400, "en", "s")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(documents(rows), min_group=100).collect()}
+    assert [d for d, r in got.items() if not r.kept] == [1001]
+    x, v = [], []
+    for r in got.values():
+        x.append([np.log(r.word_chars / r.n_words), *(np.arcsin(np.sqrt(part / whole)) for part, whole in
+                  ((r.n_symbols, r.word_chars), (r.n_dup_lines, r.n_lines), (r.n_repeat_words, r.n_words)))])
+        v.append([0.36 / r.n_words, 0.25 / r.word_chars, 0.25 / r.n_lines, 2 / r.n_words])
+    x, v = np.array(x), np.array(v)
+    _, mean, cov = brute_estimate(x, v.mean(0))
+    want = [(a - mean) @ np.linalg.solve(cov + np.diag(b), a - mean) for a, b in zip(x, v)]
+    assert np.allclose([r.distance for r in got.values()], want, rtol=0.2, atol=0.3)
+
+
 # --- classifier ----------------------------------------------------------------------------------
 
 

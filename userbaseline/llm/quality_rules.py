@@ -9,9 +9,15 @@ The other texts give a vector: log mean word length, and the arcsine roots of th
 repeated lines and repeated words. Each language and source gets a minimum-covariance-determinant
 estimate of it: starting from a median-and-quartile scale and from a tanh-damped covariance, concentration
 steps take the ``KEPT_SHARE`` of rows with the smallest Mahalanobis distance and estimate
-mean and covariance anew until the determinant settles; the start with the smaller determinant
-is used. Variances have a floor (``FLOORS``), since most texts of a clean source have no signs or
-repetitions at all. A text whose squared distance is over ``CUTOFF`` is rejected.
+mean and covariance anew. A group's start goes on as long as a step lowers its determinant; the start with the
+smaller determinant is used. A step that should still lower one after ``STEPS`` raises.
+
+Most texts of a clean source have no signs or repetitions at all, so a covariance alone may be singular. What
+is added to it is no fixed floor but the sampling error of the measures themselves: an arcsine root of a share among n units
+has variance 1 / 4n, whatever the share, and the log of a mean of n word lengths ``WORD_SPREAD``² / n. The steps
+add a group's mean of them; a text is judged by its group's covariance and its own errors, so that two
+equal lines of five say less than two hundred of five hundred. A text whose squared distance is over ``CUTOFF`` is
+rejected.
 
 Groups with fewer than ``MIN_GROUP`` rows take their language's estimate, or that of all rows if the language
 is small too; with fewer than ``MIN_GROUP`` rows altogether nothing is rejected by distance. Order statistics
@@ -38,15 +44,16 @@ SIGNS = b"#*$%&|<>"
 
 NAMES = ["x0", "x1", "x2", "x3"]
 P = len(NAMES)
-#: least standard deviations of the four measures
-FLOORS = [0.12, 0.06, 0.16, 0.15]
+ERRORS = ["v0", "v1", "v2", "v3"]
+#: standard deviation of the length of a text's words, as a share of their mean
+WORD_SPREAD = 0.6
 KEPT_SHARE = 0.75
 #: makes the covariance of the central 75 percent that of all rows, for four normal measures
 CONSISTENCY = 1.49
 #: chi-square with four degrees of freedom, 0.99999
 CUTOFF = 28.5
 MIN_GROUP = 200
-STEPS, SETTLED = 12, 1e-4
+STEPS, SETTLED = 60, 1e-3
 BIN = 1e-3  # width of the bins for quartiles; distances are binned by 1/64 of a doubling
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -137,6 +144,21 @@ def _measures() -> list[Column]:
     return [m.alias(name) for m, name in zip(made, NAMES)]
 
 
+def _errors() -> list[Column]:
+    """The sampling variance of each measure. Repeated words come in windows, so as many units are one."""
+
+    def over(count: str) -> Column:
+        return F.greatest(F.col(count), F.lit(1)).cast("double")
+
+    made = [
+        F.lit(WORD_SPREAD**2) / over("n_words"),
+        F.lit(0.25) / over("word_chars"),
+        F.lit(0.25) / over("n_lines"),
+        F.lit(0.25 * WINDOW) / over("n_words"),
+    ]
+    return [m.alias(name) for m, name in zip(made, ERRORS)]
+
+
 def _moments(rows: DataFrame, values: list[Column]) -> DataFrame:
     """(grp, start, n, s, q): count, sums and sums of products of ``values``."""
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
@@ -154,13 +176,13 @@ def _symmetric(q: np.ndarray) -> np.ndarray:
 
 
 def _estimates(spread: bool):
-    """Moments to (mean, inverse of the floored covariance, log determinant), a row for each group.
+    """Moments with their group's centre, scale and mean errors to (mean, covariance, inverse of the covariance with
+    the errors, its log determinant), a row for each group.
 
-    With ``spread`` the moments are of tanh-damped standard values and the rows carry their centre and
-    scale.
+    With ``spread`` the moments are of tanh-damped standard values.
     """
-    schema = f"grp string, start int, mean array<double>, inverse array<double>, logdet double, n long"
-    names = ["grp", "start", "mean", "inverse", "logdet", "n"]
+    schema = "grp string, start int, mean array<double>, cov array<double>, inverse array<double>, logdet double"
+    types = [pa.string(), pa.int32(), *[pa.list_(pa.float64())] * 3, pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,16 +197,11 @@ def _estimates(spread: bool):
                         cov = np.diag(scale**2)
                 else:
                     cov = cov * CONSISTENCY
-                cov = cov + np.diag(np.square(FLOORS))
-                out.append((r["grp"], r["start"], mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), r["n"]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()),
-                    pa.array([o[2] for o in out], pa.list_(pa.float64())), pa.array([o[3] for o in out], pa.list_(pa.float64())),
-                    pa.array([o[4] for o in out], pa.float64()), pa.array([o[5] for o in out], pa.int64()),
-                ],
-                names,
-            )
+                whole = cov + np.diag(r["errors"])
+                logdet = float(np.linalg.slogdet(whole)[1])
+                out.append((r["grp"], r["start"], mean.tolist(), cov.ravel().tolist(), np.linalg.inv(whole).ravel().tolist(), logdet))
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, ["grp", "start", "mean", "cov", "inverse", "logdet"])
 
     return run, schema
 
@@ -205,50 +222,80 @@ def _upto(binned: DataFrame, keys: list[str], share: Column, name: str) -> DataF
     return counted.filter(F.col("sofar") >= share * F.col("all")).groupBy(*keys).agg(F.min("bin").alias(name))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """The two starting estimates of each group."""
+def _scales(rows: DataFrame) -> DataFrame:
+    """(grp, centre, scale, errors): medians, quartile scales and mean errors of each group's measures."""
     flat = rows.select("grp", F.posexplode(F.array(*NAMES)).alias("dim", "x"))
     binned = flat.select("grp", "dim", F.floor(F.col("x") / BIN).alias("bin"))
     quartiles = None
     for name, share in (("low", 0.25), ("mid", 0.5), ("high", 0.75)):
         found = _upto(binned, ["grp", "dim"], F.lit(share), name)
         quartiles = found if quartiles is None else quartiles.join(found, ["grp", "dim"])
-    floors = F.array(*[F.lit(f) for f in FLOORS])
-    scale = F.greatest((F.col("high") - F.col("low")) * BIN / 1.349, F.get(floors, F.col("dim")))
+    errors = rows.groupBy("grp").agg(F.array(*[F.avg(v) for v in ERRORS]).alias("errors"))
+    scale = F.greatest((F.col("high") - F.col("low")) * BIN / 1.349, F.sqrt(F.get("errors", F.col("dim"))))
     entry = F.struct("dim", ((F.col("mid") + 0.5) * BIN).alias("centre"), scale.alias("scale"))
-    spread = quartiles.groupBy("grp").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    spread = cut(spread.select("grp", F.col("e.centre").alias("centre"), F.col("e.scale").alias("scale")))
-    met = rows.join(spread, "grp").withColumn("start", F.lit(0))
+    met = quartiles.join(errors, "grp").groupBy("grp").agg(F.sort_array(F.collect_list(entry)).alias("e"), F.first("errors").alias("errors"))
+    return met.select("grp", F.col("e.centre").alias("centre"), F.col("e.scale").alias("scale"), "errors")
+
+
+def _starts(rows: DataFrame, scales: DataFrame) -> DataFrame:
+    """The two starting estimates of each group."""
+    met = rows.join(scales, "grp").withColumn("start", F.lit(0))
     damped = [
         F.tanh((F.col(x) - F.get("centre", F.lit(i))) / F.get("scale", F.lit(i))) for i, x in enumerate(NAMES)
     ]
-    moments = _moments(met, damped).drop("start").join(spread, "grp")
+    moments = _moments(met, damped).drop("start").join(scales, "grp")
     return moments.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))).mapInArrow(*_estimates(True))
 
 
 def minimum_covariance(rows: DataFrame) -> DataFrame:
-    """(grp, mean, inverse) for the groups of ``rows`` (grp and the measures)."""
-    estimates = cut(_starts(rows))
-    before = None
-    for _ in range(STEPS):
+    """(grp, mean, cov) for the groups of ``rows`` (grp, the measures and their errors)."""
+    scales = cut(_scales(rows))
+    estimates = cut(_starts(rows, scales))
+    settled = None
+    for step in range(STEPS):
         near = rows.join(estimates.select("grp", "start", "mean", "inverse"), "grp")
         near = near.withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * 64))
         within = _upto(near, ["grp", "start"], F.lit(KEPT_SHARE), "most")
         central = near.join(within, ["grp", "start"]).filter("bin <= most")
-        estimates = cut(_moments(central, [F.col(x) for x in NAMES]).mapInArrow(*_estimates(False)))
-        now = estimates.agg(F.sum("logdet")).first()[0]
-        if now is None or before is not None and abs(now - before) <= SETTLED * max(1.0, abs(now)):
+        moments = _moments(central, [F.col(x) for x in NAMES]).join(scales, "grp")
+        after = moments.mapInArrow(*_estimates(False))
+        if step == 0:  # determinants of the starts are of other rows, and say nothing
+            estimates = cut(after)
+            continue
+        was = estimates.select("grp", "start", F.col("logdet").alias("was"))
+        after = cut(after.join(was, ["grp", "start"]).withColumn("lower", F.col("logdet") < F.col("was") - SETTLED))
+        done = estimates.join(after.filter("not lower").select("grp", "start"), ["grp", "start"], "left_semi")
+        settled = done if settled is None else settled.unionByName(done)
+        estimates = after.filter("lower").drop("was", "lower")
+        if estimates.isEmpty():
             break
-        before = now
-    best = estimates.groupBy("grp").agg(F.min(F.struct("logdet", "start", "mean", "inverse")).alias("b"))
-    return best.select("grp", F.col("b.mean").alias("mean"), F.col("b.inverse").alias("inverse"))
+    else:
+        raise ArithmeticError(f"{estimates.count()} estimates have not settled in {STEPS} steps")
+    best = settled.groupBy("grp").agg(F.min(F.struct("logdet", "start", "mean", "cov")).alias("b"))
+    return best.select("grp", F.col("b.mean").alias("mean"), F.col("b.cov").alias("cov"))
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their group's estimate to rows with their distance; null without an estimate."""
+    given = [*NAMES, *ERRORS, "mean", "cov"]
+    for batch in batches:
+        has = batch.column("mean").is_valid()
+        known = batch.filter(has)
+        x, v = (np.stack([known.column(c).to_numpy() for c in names], 1) for names in (NAMES, ERRORS))
+        mean = np.asarray(known.column("mean").flatten()).reshape(-1, P)
+        cov = np.asarray(known.column("cov").flatten()).reshape(-1, P, P)
+        apart = x - mean
+        solved = np.linalg.solve(cov + v[:, :, None] * np.eye(P), apart[:, :, None])[:, :, 0]
+        out = np.full(batch.num_rows, np.nan)
+        out[has.to_numpy(zero_copy_only=False)] = (apart * solved).sum(1)
+        yield batch.drop_columns(given).append_column("distance", pa.array(out, from_pandas=True))
 
 
 def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, lang, source, base counts, base_failed, distance (null without an estimate) and kept."""
     counts = cut(base_counts(docs))
     rows = counts.filter("not base_failed").select(
-        F.to_json(F.struct("lang", "source")).alias("own"), F.to_json(F.struct("lang")).alias("wider"), *_measures()
+        F.to_json(F.struct("lang", "source")).alias("own"), F.to_json(F.struct("lang")).alias("wider"), *_measures(), *_errors()
     )
     # the group whose estimate serves a language and source: itself, its language, or all
     sizes = rows.groupBy("own", "wider").agg(F.count("*").alias("n"))
@@ -270,15 +317,17 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = C
         levels.append(rows.join(chosen, "wider", "left_semi").withColumn("grp", F.col("wider")))
     if "all" in wanted:
         levels.append(rows.withColumn("grp", F.lit("all")))
-    shown = counts.select("*", F.to_json(F.struct("lang", "source")).alias("own"), *_measures())
+    shown = counts.select("*", F.to_json(F.struct("lang", "source")).alias("own"), *_measures(), *_errors())
     columns = ["doc_id", "lang", "source", *COUNTS, "base_failed"]
     if not levels:
         return shown.select(*columns, F.lit(None).cast("double").alias("distance"), (~F.col("base_failed")).alias("kept"))
     pool = levels[0]
     for more in levels[1:]:
         pool = pool.unionByName(more)
-    estimates = minimum_covariance(cut(pool.select("grp", *NAMES)))
-    params = serves.join(estimates, "grp").select("own", "mean", "inverse")
-    judged = shown.join(params, "own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    estimates = minimum_covariance(cut(pool.select("grp", *NAMES, *ERRORS)))
+    params = serves.join(estimates, "grp").select("own", "mean", "cov")
+    met = shown.join(params, (shown.own == params.own) & ~F.col("base_failed"), "left")
+    met = met.select(*columns, *NAMES, *ERRORS, "mean", "cov")
+    judged = met.mapInArrow(_judge, met.select(*columns).schema.add("distance", "double"))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return judged.select(*columns, "distance", kept.alias("kept"))
