@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from userbaseline.functions import scalars
+from userbaseline.operators import skew
 
 # Dictionary columns of a session and of a command, by name of the readable column.
 SESSION_ROLES = {
@@ -51,13 +52,18 @@ def session_columns(sessions: DataFrame) -> DataFrame:
     )
 
 
-def with_server(sessions: DataFrame, servers: DataFrame) -> DataFrame:
-    """Sessions on known servers, with the server's columns."""
-    return sessions.join(servers, "server_id")
+def _met(facts: DataFrame, side: DataFrame, key: str, how: str, heavy_rows: int | None) -> DataFrame:
+    return facts.join(side, key, how) if heavy_rows is None else skew.dealt_join(facts, side, key, how, heavy_rows)
 
 
-def with_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
-    return rows.join(projects, "project_id")
+def with_server(sessions: DataFrame, servers: DataFrame, heavy_rows: int | None = None) -> DataFrame:
+    """Sessions on known servers, with the server's columns. With ``heavy_rows``, here and below, keys with
+    more rows are dealt over copies of the other side (see `skew`)."""
+    return _met(sessions, servers, "server_id", "inner", heavy_rows)
+
+
+def with_project(rows: DataFrame, projects: DataFrame, heavy_rows: int | None = None) -> DataFrame:
+    return _met(rows, projects, "project_id", "inner", heavy_rows)
 
 
 #: periods of up to so many days are met by day, longer ones by stretches of so many days
@@ -120,14 +126,14 @@ def in_opt_in(
     return near.unionAll(s.join(long_, by_era).select("s.*", "long.start_date", "long.end_date"))
 
 
-def with_geo(sessions: DataFrame, ips: DataFrame) -> DataFrame:
+def with_geo(sessions: DataFrame, ips: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """Add address facts; only the shared rows (project 0) of the address table count."""
     shared = ips.filter(F.col("ip_project_id") == 0).drop("ip_project_id")
-    return sessions.join(shared, "ip_id", "left")
+    return _met(sessions, shared, "ip_id", "left", heavy_rows)
 
 
-def with_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
-    return sessions.join(users, "user_id", "left")
+def with_users(sessions: DataFrame, users: DataFrame, heavy_rows: int | None = None) -> DataFrame:
+    return _met(sessions, users, "user_id", "left", heavy_rows)
 
 
 def decode_dictionary(dictionary: DataFrame, projects: DataFrame, keys: DataFrame) -> DataFrame:

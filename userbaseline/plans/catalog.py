@@ -298,6 +298,19 @@ def session_server_join(t: Inputs) -> DataFrame:
     return t.placed_sessions.select("session_id", "server_id", "project_id", "hostname_ref")
 
 
+@_query
+def session_server_join_dealt(t: Inputs) -> DataFrame:
+    """The same join with sessions of heavy servers dealt over copies of the server."""
+    placed = enrich.with_server(t.sessions, t.servers, heavy_rows=50)
+    return placed.select("session_id", "server_id", "project_id", "hostname_ref")
+
+
+@_query
+def geo_left_join_dealt(t: Inputs) -> DataFrame:
+    found = enrich.with_geo(t.sessions, tenants.ips(t.table("nation")), heavy_rows=50)
+    return found.select("session_id", "ip_id", "country_name", "ip_type", "latitude_ref")
+
+
 @_query
 def session_project_join(t: Inputs) -> DataFrame:
     placed = enrich.with_project(t.placed_sessions, t.projects)

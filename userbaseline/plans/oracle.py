@@ -426,6 +426,7 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN latitude_text IS NOT NULL THEN {_id("latitude_text")} END AS latitude_ref FROM geo""",
         "geo",
     )
+    q["session_server_join_dealt"], q["geo_left_join_dealt"] = q["session_server_join"], q["geo_left_join"]
     q["geo_dictionary_chain"] = _with(
         f"""SELECT session_id, country_name,
         (SELECT value FROM dict t WHERE t.project_id = g.project_id AND t.id = g.lat) AS latitude,
