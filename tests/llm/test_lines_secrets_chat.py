@@ -143,6 +143,7 @@ def test_many_candidates_in_a_text(documents):
 def test_warc(spark):
     big, other = "é" * 500 + "tail", "b" * 1000
     rows = [(1, "u1", big), (5, "u5", big), (3, None, big), (2, "u\r\nWARC-Type: x", "small"), (4, "", "small")]
+    rows += [(10, "é/日本", "\r\n\r\nWARC-Type: revisit\r\nContent-Length: 3\r\n\r\n"), (11, "u11", "\r\n\r\n" * 300)]
     rows += [(6, "u6", None), (7, "u7", ""), (8, "u8", other), (8, "u8", other), (9, "u9", "c" * 10**6), (None, "n", big), (None, "n", "d" * 2000)]
     path = scratch_path(spark, "warc-test")
     warc_store.write(pages(spark, rows), path)
@@ -157,6 +158,9 @@ def test_warc(spark):
         revisit = len(data) >= 1000 and newest[h or ""] != (-1 if p is None else p)
         want.append((str(p), len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", newest[h or ""] if revisit else None))
     assert got == sorted(want, key=lambda x: x[:4])
+    broken = read.withColumn("header", F.replace(F.col("header").cast("string"), F.lit("Content-Length: 5"), F.lit("Content-Length: 4")).cast("binary"))
+    with pytest.raises(Exception, match="payload and header differ"):
+        warc_store.parsed(broken).collect()
     stored = spark.read.parquet(f"{path}/payloads")
     assert stored.count() == len({h or "" for _, _, h in rows})
     record = read.filter(F.col("header").cast("string").contains("page:1>")).select(

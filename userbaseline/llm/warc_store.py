@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from userbaseline.session import cut
+
 REVISIT_BYTES = 1000
 NEWLINE = "\r\n"
 #: the profile that the WARC standard names for records of equal payloads
@@ -45,7 +47,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str) -> None:
     """Write the archive of ``pages`` below ``path``, which must be new."""
-    rows = records(pages)
+    rows = cut(records(pages))
     first = rows.groupBy("digest").agg(
         F.max("page_id").alias("newest"),
         F.min(F.struct("n_bytes", "sha1")).alias("low"),
@@ -117,17 +119,30 @@ def _field(header: Column, name: str) -> Column:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """The fields of records that `read` gave, taken from their headers and payloads."""
-    header = F.col("header")
-    page = lambda name: F.nullif(F.regexp_extract(_field(header, name), "<urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
-    kind = _field(header, "WARC-Type")
-    told = F.substring(_field(header, "WARC-Payload-Digest"), len("sha1:") + 1, 40)
-    same = told == F.col("sha1")
-    return rows.select(
+    """The fields of the records that `read` gave. Each record is put together as it stands in a file and taken apart
+    again: header lines, a block of the length they tell, the end. A record of another length raises, and so does a
+    payload (the block, or what a revisit refers to) of another digest than its header tells."""
+    made = rows.select("payload", record_bytes(F.col("header"), F.col("payload")).alias("record"))
+    # bytes up to the first empty line; a cast leaves them as they are
+    split = made.select("*", F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1).alias("lines"))
+    header = F.encode(F.concat("lines", F.lit(NEWLINE)), "UTF-8")
+    fields = split.select(
+        "payload", "record", F.octet_length("lines").alias("head"),
+        *[_field(header, name).alias(name) for name in ("WARC-Type", "WARC-Record-ID", "WARC-Payload-Digest", "WARC-Refers-To")],
+        _field(header, "Content-Length").cast("int").alias("length"),
+    )
+    block = F.substring(F.col("record"), F.col("head") + 5, F.col("length"))
+    end = F.octet_length("record") == F.col("head") + 4 + F.col("length") + 4
+    kind = F.col("WARC-Type")
+    bodies = fields.withColumn("body", F.when(kind == "revisit", F.col("payload")).otherwise(block)).withColumn("end", end)
+    page = lambda name: F.nullif(F.regexp_extract(F.col(name), "<urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
+    told = F.substring(F.col("WARC-Payload-Digest"), len("sha1:") + 1, 40)
+    same = F.col("end") & (told == F.sha1("body"))
+    return bodies.select(
         page("WARC-Record-ID").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.octet_length("body").cast("long").alias("payload_bytes"),
         F.when(same, told).otherwise(F.raise_error(F.concat(F.lit("payload and header differ: "), told))).alias("payload_digest"),
         kind.alias("record_type"),
         F.when(kind == "revisit", page("WARC-Refers-To")).alias("refers_to"),
-        F.octet_length(record_bytes(header, F.col("payload"))).cast("long").alias("record_bytes"),
+        F.octet_length("record").cast("long").alias("record_bytes"),
     )
