@@ -1,10 +1,13 @@
 """Line dedup, secret spans, WARC archive and chat trees against brute force."""
 
+import base64
 import hashlib
 import re
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from userbaseline.llm import chat_tree, line_dedup, secret_frequency, warc_store
@@ -243,6 +246,42 @@ def test_chat_trees(spark):
     assert order.index(4) == order.index(1) + 1 and order.index(2) < order.index(3)
 
 
+def test_chat_trees_in_tokens(spark):
+    """Rebuilt from the tree's intervals, each conversation has the ids that its marks and texts have by the library."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = CHATS + [(1000 + i, 0, "system", "S & <b>") for i in range(30)] + [(2000 + i, t, r, x) for i in range(30) for t, r, x in [(0, "system", "S & <b>"), (1, "user", f"q{i % 9}"), (2, "assistant", f"r{i % 7}")]]
+    trees = chat_tree.chat_trees(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    counted = chat_tree.tokenised(trees, path, public_tokenizers.PATTERN)
+    want, learnt = {}, {}
+    for r in chat_tree.read_back(trees).collect():
+        parts = re.findall("(<turn [^>]*>)([^<]*)(</turn>)", r.formatted)
+        assert "".join(map("".join, parts)) == r.formatted
+        want[r.conv_id] = [i for p in parts for piece in p for i in known.encode_ordinary(piece)]
+        learnt[r.conv_id] = [known.encode_ordinary(p[1]) for p in parts if p[0] == "<turn assistant>"]
+    packed = sorted(counted.packed().collect(), key=lambda p: (p.tree is not None, p.tree or 0, p.start))
+    ids, masked = defaultdict(list), defaultdict(set)
+    for p in packed:
+        assert (p.start, p.length) == (len(ids[p.tree]), len(p.ids))
+        ids[p.tree] += p.ids
+        masked[p.tree] |= {(s["from"], s.to) for s in p.loss}
+        before = [i for s in p.attends for i in ids[p.tree][s["from"] : s.to]]
+        assert p.position_start == len(before) and before + p.ids == want[p.owner]
+    paths = counted.paths().collect()
+    assert len(paths) == len(want)
+    for r in paths:
+        assert [i for s in r.intervals for i in ids[r.tree][s["from"] : s.to]] == want[r.conv_id]
+        spans = [m for s in r.intervals for m in sorted(masked[r.tree]) if s["from"] <= m[0] and m[1] <= s.to]
+        assert [ids[r.tree][a:b] for a, b in spans] == learnt[r.conv_id]
+    # shared turns have their tokens once
+    assert sum(len(x) for x in ids.values()) < sum(len(x) for x in want.values())
+    empty = chat_tree.chat_trees(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    none = chat_tree.tokenised(empty, path, public_tokenizers.PATTERN)
+    assert none.packed().collect() == [] and none.paths().collect() == []
+
+
 def test_chat_empty(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     trees = chat_tree.chat_trees(turns)

@@ -8,7 +8,9 @@ A *node* of a tree is a sequence of first turns, found by a hash over it; its *o
 conversation that passes through it. A conversation owns the tail of its path from some
 turn on, its *segment*, or nothing if an equal or longer one owns all. Sorting segments by the turns where
 their paths leave other segments (the deeper branch first) is depth-first order, so the place of a
-segment in its tree is a sum of lengths over sorted rows. Units are code points of the formatted text.
+segment in its tree is a sum of lengths over sorted rows. Units are code points of the formatted text, or tokens:
+`tokenised` encodes every segment once, mark by mark and text by text, so that a shared turn has the same tokens in all
+its conversations and loss spans begin and end with tokens, and gives the same tables in units of tokens.
 
 `packed` gives the segments; each carries its place, the position id of its first character (depth in its
 conversation, so that a character's position does not depend on what else is packed), the spans of its
@@ -24,12 +26,16 @@ result. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from userbaseline.session import cut
+from userbaseline.llm import byte_bpe
+from userbaseline.session import cut, ship
 
 OPEN, CLOSE = "<turn ", "</turn>"
 LEARNT = "assistant"
@@ -87,13 +93,15 @@ class ChatTrees:
     runs: DataFrame
 
     def packed(self) -> DataFrame:
-        """owner, tree, start, length, position_start, text, loss, attends (array of [from, to) in the tree)."""
+        """owner, tree, start, length, position_start, text, ids (if tokenised), loss, attends (array of [from, to) in
+        the tree)."""
         others = self.runs.filter("conv <> owner").groupBy("conv").agg(F.sort_array(F.collect_list(_interval())).alias("attends"))
         met = self.segments.join(others, self.segments.owner == others.conv, "left")
         none = F.expr("cast(array() AS array<struct<`from`: bigint, `to`: bigint>>)")
         shift = lambda s: F.struct((s["from"] + F.col("start")).alias("from"), (s["to"] + F.col("start")).alias("to"))
         return met.select(
             _shown("owner"), _shown("tree"), "start", "length", "position_start", "text",
+            *[c for c in met.columns if c == "ids"],
             F.transform("loss", shift).alias("loss"), F.coalesce("attends", none).alias("attends"),
         )
 
@@ -112,6 +120,18 @@ def _interval() -> Column:
     return F.struct(begin.alias("from"), (begin + F.col("length")).alias("to"))
 
 
+def _with_places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``place``, the sum of the lengths of all rows before them: sums inside range partitions, and one
+    base for each partition."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    bases = ranged.groupBy("part").agg(F.sum("length").alias("total"))
+    bases = bases.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    ahead = ranged.select("*", (F.sum("length").over(within) - F.col("length")).alias("ahead")).join(bases, "part")
+    return ahead.select("*", (F.col("base") + F.col("ahead")).alias("place")).drop("part", "ahead", "base")
+
+
 def chat_trees(conversations: DataFrame) -> ChatTrees:
     """Build the trees of all conversations and write them to the shared folder."""
     turns = cut(formatted_turns(conversations))
@@ -119,7 +139,8 @@ def chat_trees(conversations: DataFrame) -> ChatTrees:
     # a table of its own meets the turns in a plain join, whose hot nodes Spark can split
     owners = cut(turns.groupBy(*node).agg(F.min("conv").alias("owner")))
     runs = turns.select("conv", *node, "at", "n").join(owners, node).groupBy("conv", "owner").agg(
-        F.min("depth").alias("from_depth"), F.min("at").alias("from_at"), F.sum("n").alias("length")
+        F.min("depth").alias("from_depth"), F.min("at").alias("from_at"), F.sum("n").alias("length"),
+        F.count(F.lit(1)).alias("n_turns"),
     )
     runs = cut(runs)
 
@@ -130,13 +151,8 @@ def chat_trees(conversations: DataFrame) -> ChatTrees:
         F.max(F.when(F.col("conv") == F.col("owner"), F.struct("from_depth", "from_at", "length"))).alias("own"),
     )
     owned = path.filter("own is not null").select("conv", "key", "own.*", F.get("key", F.lit(0))["owner"].alias("tree"))
-    ranged = cut(owned.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
-    within = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    bases = ranged.groupBy("part").agg(F.sum("length").alias("total"))
-    bases = bases.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = ranged.select("*", (F.sum("length").over(within) - F.col("length")).alias("ahead")).join(bases, "part")
-    placed = cut(placed.select("conv", "tree", "from_depth", "from_at", "length", (F.col("base") + F.col("ahead")).alias("place")))
+    placed = _with_places(owned, ["key"])
+    placed = cut(placed.select("conv", "tree", "from_depth", "from_at", "length", "place"))
     roots = placed.groupBy("tree").agg(F.min("place").alias("root"))
     placed = placed.join(roots, "tree").select(
         F.col("conv").alias("owner"), "tree", "from_depth", F.col("from_at").alias("position_start"),
@@ -159,11 +175,78 @@ def chat_trees(conversations: DataFrame) -> ChatTrees:
     segments = cut(placed.join(texts, "owner"))
     of_owner = segments.select("owner", "tree", "start", "position_start")
     runs = runs.join(of_owner, "owner").select(
-        "conv", "owner", "tree", "from_depth", "length", "start", (F.col("from_at") - F.col("position_start")).alias("skip")
+        "conv", "owner", "tree", "from_depth", "length", "start", "n_turns", (F.col("from_at") - F.col("position_start")).alias("skip")
     )
     return ChatTrees(segments, cut(runs))
 
 
+_ENCODED = (
+    "owner long, ids array<int>, turns array<bigint>, loss array<struct<`from`: bigint, `to`: bigint>>"
+)
+
+
+def tokenised(trees: ChatTrees, rank_path: str, pattern: str) -> ChatTrees:
+    """The trees in tokens: start, length, position_start, skip, loss, attended intervals and paths count
+    tokens, and segments have their ``ids``. Each turn is encoded once, where its segment holds it."""
+    spark = trees.segments.sparkSession
+    ship(spark)
+    with open(rank_path, "rb") as file:
+        shared = spark.sparkContext.broadcast(byte_bpe.Shared(file.read(), pattern, 1.0))
+    mark = regex.compile(f"({OPEN}[^>]*>)([^<]*){CLOSE}").findall  # texts hold neither sign of a mark
+    learnt = f"{OPEN}{LEARNT}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = shared.value.codec()
+
+        def numbers(text: str) -> list[int]:
+            return [int(i) for i in codec.encode(text).split(",")] if text else []
+
+        close = numbers(CLOSE)
+        for batch in batches:
+            for owner, text in zip(batch.column("owner").to_pylist(), batch.column("text")):
+                ids, sizes, loss = [], [], []
+                for head, body in mark(text.as_py()):
+                    begin = len(ids)
+                    ids += numbers(head)
+                    first = len(ids)
+                    ids += numbers(body)
+                    if head == learnt:
+                        loss.append({"from": first, "to": len(ids)})
+                    ids += close
+                    sizes.append(len(ids) - begin)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([owner], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([sizes], pa.list_(pa.int64())),
+                        pa.array([loss], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
+                    ],
+                    ["owner", "ids", "turns", "loss"],
+                )
+
+    encoded = cut(trees.segments.select("owner", "text").mapInArrow(run, _ENCODED))
+    sums = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    sizes = encoded.select("owner", "turns", F.size("ids").cast("long").alias("length"))
+    old = trees.segments.select("owner", "tree", "from_depth", F.col("start").alias("order"))
+    placed = cut(_with_places(old.join(sizes, "owner"), ["tree", "order"]))
+    roots = placed.groupBy("tree").agg(F.min("place").alias("root"))
+    placed = placed.join(roots, "tree").withColumn("start", F.col("place") - F.col("root"))
+
+    of_owner = placed.select("owner", "start", "turns", F.col("from_depth").alias("own_depth"))
+    runs = trees.runs.select("conv", "owner", "tree", "from_depth", "n_turns").join(of_owner, "owner")
+    ahead = (F.col("from_depth") - F.col("own_depth")).cast("int")
+    runs = cut(runs.select(
+        "conv", "owner", "tree", "from_depth", "n_turns", "start",
+        sums(F.slice("turns", F.lit(1), ahead)).alias("skip"),
+        sums(F.slice("turns", ahead + 1, F.col("n_turns").cast("int"))).alias("length"),
+    ))
+    # a conversation's own segment comes after all others on its path
+    before = runs.filter("conv <> owner").groupBy("conv").agg(F.sum("length").alias("before"))
+    met = placed.join(before, placed.owner == before.conv, "left")
+    met = met.select("owner", "tree", "from_depth", "start", "length", F.coalesce("before", F.lit(0)).alias("position_start"))
+    texts = trees.segments.select("owner", "text")
+    segments = met.join(encoded.select("owner", "ids", "loss"), "owner").join(texts, "owner")
+    return ChatTrees(cut(segments), runs)
+
+
 def read_back(trees: ChatTrees) -> DataFrame:
     """conv_id, formatted (its text out of the trees), turns (array of role and text), learnt (texts under
     the loss mask, in order); roles and texts unescaped."""
