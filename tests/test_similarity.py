@@ -178,3 +178,10 @@ def test_a_command_longer_than_a_chunk(command_rows):
     rows = [(1, 1, 1, 0, "a" * 50), (1, 1, 1, 1, "b" * 3), (1, 1, 1, 2, "")]
     out = ct.command_text(command_rows(rows), ["session_id"], 8).orderBy("chunk_no").collect()
     assert "".join(r.text for r in out) == "a" * 50 + " bbb "
+
+
+def test_small_tiles_do_not_make_a_task_each():
+    """A hundred million characters in tiles of 90 are tasks of some seconds, as in large tiles; a few are dealt over the cores."""
+    assert s._tasks(100_000_000, 90, 12) == s._tasks(100_000_000, s.BLOCK_CHARS, 12) == 51
+    assert s._tasks(1_000_000, 90, 12) == 12
+    assert s._tasks(100, 90, 12) == 1

@@ -35,8 +35,8 @@ INLINE_CHARS = 2_048
 BLOCK_CHARS, SIDE = 262_144, 8_192
 #: the first band, and how many times wider the next one is
 BAND, WIDEN = 8_192, 16
-#: characters of both texts in a task's tiles
-_TASK_CHARS = 2_000_000
+#: characters of both texts in a task's tiles, and tiles that are read and given back at a time
+_TASK_CHARS, _AT_A_TIME = 2_000_000, 32
 
 
 def _with_previous(sizes: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _sweep(grid: DataFrame, rows: DataFrame, columns: DataFrame, block_chars: in
     ).first()
     # dealt out evenly over a set number of tasks: tiles are small data but long work, so they
     # must not be packed together by their size
-    partitions = 1 + size.work // min(_TASK_CHARS, 16 * block_chars)
+    partitions = _tasks(size.work, block_chars, spark.sparkContext.defaultParallelism)
     off = F.floor(F.col("reach") / block_chars) + 1
     for d in range(size.diagonals):
         low = F.greatest(F.lit(0).cast("long"), d - F.col("n_columns") + 1, F.ceil((d - off) / 2))
@@ -171,6 +171,12 @@ def _sweep(grid: DataFrame, rows: DataFrame, columns: DataFrame, block_chars: in
     return last.select(*DAY, F.col("corner").alias("distance"))
 
 
+def _tasks(work: int, block_chars: int, cores: int) -> int:
+    """Tasks for so many characters: a character takes about as long in small tiles as in large ones, so small tiles
+    only make more tasks until all cores have one."""
+    return max(1 + work // _TASK_CHARS, min(cores, 1 + work // (16 * block_chars)))
+
+
 _EDGE = "array<struct<at:bigint,steps:binary>>"
 _EDGES = f"user_id bigint, day date, i bigint, j bigint, corner bigint, right {_EDGE}, bottom {_EDGE}"
 _LISTED = pa.list_(pa.struct([("at", pa.int64()), ("steps", pa.binary())]))
@@ -181,14 +187,18 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"i": pa.int64(), "j": pa.int64(), "corner": pa.int64(), "right": _LISTED, "bottom": _LISTED}
     for batch in batches:
         schema = pa.schema([batch.schema.field("user_id"), batch.schema.field("day"), *kinds.items()])
-        for n in range(batch.num_rows):
-            r = batch.slice(n, 1).to_pylist()[0]
-            left = r["right"] and [e and (e["at"], unpack(e["steps"])) for e in r["right"]]
-            top = r["bottom"] and [e and (e["at"], e["steps"]) for e in r["bottom"]]
-            rows, columns, side = r["row_text"], r["column_text"], min(SIDE, r["side"])
-            right, bottom, corner = tile(rows, columns, left, top, r["i"] * r["side"], r["j"] * r["side"], r["reach"], side)
-            heights = [len(rows[k : k + side]) for k in range(0, len(rows), side)]
-            out = {"user_id": r["user_id"], "day": r["day"], "i": r["i"], "j": r["j"], "corner": corner}
-            out["right"] = [e and {"at": e[0], "steps": pack(e[1], h)} for e, h in zip(right, heights)]
-            out["bottom"] = [e and {"at": e[0], "steps": e[1]} for e in bottom]
-            yield pa.RecordBatch.from_pylist([out], schema)
+        for n in range(0, batch.num_rows, _AT_A_TIME):
+            solved = [_tile(r) for r in batch.slice(n, _AT_A_TIME).to_pylist()]
+            yield pa.RecordBatch.from_pylist(solved, schema)
+
+
+def _tile(r: dict) -> dict:
+    left = r["right"] and [e and (e["at"], unpack(e["steps"])) for e in r["right"]]
+    top = r["bottom"] and [e and (e["at"], e["steps"]) for e in r["bottom"]]
+    rows, columns, side = r["row_text"], r["column_text"], min(SIDE, r["side"])
+    right, bottom, corner = tile(rows, columns, left, top, r["i"] * r["side"], r["j"] * r["side"], r["reach"], side)
+    heights = [len(rows[k : k + side]) for k in range(0, len(rows), side)]
+    out = {"user_id": r["user_id"], "day": r["day"], "i": r["i"], "j": r["j"], "corner": corner}
+    out["right"] = [e and {"at": e[0], "steps": pack(e[1], h)} for e, h in zip(right, heights)]
+    out["bottom"] = [e and {"at": e[0], "steps": e[1]} for e in bottom]
+    return out
