@@ -286,3 +286,16 @@ def test_chat_empty(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     trees = chat_tree.chat_trees(turns)
     assert chat_tree.read_back(trees).collect() == [] and trees.packed().collect() == [] and trees.paths().collect() == []
+
+
+def test_documents_are_not_sorted_to_lose_their_lines(spark):
+    """The positions are hashed, beside them whole documents pass by."""
+    docs = spark.createDataFrame([(i, f"same\nown {i}") for i in range(12)], "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = line_dedup.drop_lines(docs)
+        assert "ShuffledHashJoin" in left._jdf.queryExecution().executedPlan().toString()
+        assert {(r.doc_id, r.text, r.n_dropped) for r in left.collect()} == {(i, f"own {i}", 1) for i in range(12)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -73,7 +73,8 @@ def drop_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) ->
     gone = keyed.join(frequent, ["k1", "k2"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone"))
 
     packed = docs.select(F.struct("*").alias("doc"), *_named(row, "r"))
-    met = packed.join(gone, ["r1", "r2"], "left").select("doc", "gone", _lines(F.coalesce("doc.text", F.lit(""))).alias("lines"))
+    # positions are few beside the texts: hashed in their partition, so that no task sorts whole documents
+    met = packed.join(gone.hint("shuffle_hash"), ["r1", "r2"], "left").select("doc", "gone", _lines(F.coalesce("doc.text", F.lit(""))).alias("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     met = met.select("doc", "gone", "lines", left.alias("left"))
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(
