@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,6 +233,31 @@ def test_alignment_against_all_pairs_of_tokens(spark, documents, block):
     assert token_alignment.alignment(spark.createDataFrame([], docs.schema), BYTE_BPE, PIECE_BPE).count() == 0
 
 
+def test_a_block_is_aligned_a_few_texts_at_a_time():
+    """Beside their links, a block's texts need the memory of a part of them."""
+    import tracemalloc
+
+    import numpy as np
+
+    with open(BYTE_BPE, "rb") as a, open(PIECE_BPE, "rb") as b:
+        aligner = token_alignment.Aligner(a.read(), b.read())
+    texts = ["a long text of plain words " * 100 + str(i) for i in range(300)] + ["", "tail"]
+    want = [aligner.shown_groups(made, 1)[0] for t in texts for _, made, *_ in aligner.parts([t])]
+    tracemalloc.start()
+    got, links, tokens, most = [], [], 0, 0
+    for first, made, n_a, n_b in aligner.parts(texts):
+        assert len(got) == first
+        got += aligner.shown_groups(made, len(n_a))
+        links.append(made.link_doc + first)
+        tokens, most = tokens + len(made.token), max(most, len(made.token))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and tokens == sum(len(re.split("[,|;]", g)) for g in want if g)
+    assert np.all(np.diff(np.concatenate(links)) >= 0)
+    assert most < tokens / 5
+    assert peak < 30 * sum(map(len, texts))
+
+
 def test_queries_give_the_contracts_columns(spark):
     from userbaseline.llm import queries
 

@@ -15,8 +15,9 @@ pairs, and neither texts nor single links.
 
 Texts that are null or empty, or whose joined bytes of A or B differ from space and text (a normalised or
 replaced character), have no tokens: zeros, and '' for the groups. Texts are used whole; a longer text is a
-block of its own. Null ids and repeated rows are rows like others and each counts as a document; other
-columns are ignored; an empty table gives an empty one.
+block of its own. A block is aligned a few texts at a time, and only their links are kept for the whole of it.
+Null ids and repeated rows are rows like others and each counts as a document; other columns are ignored; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from userbaseline.llm.pair_index_bpe import Codec, Vocabulary, portions
 from userbaseline.session import cut, ship
 
-#: characters of text in a block
-BLOCK = 2_000_000
+#: characters of text in a block, and of the texts that are aligned together
+BLOCK, PART = 2_000_000, 100_000
 
 
 @dataclass
@@ -92,10 +93,22 @@ class Aligner:
         self.shown = np.array([f"{i}{sign}" for sign in (",", "|", ";", "") for i in ids], object)
         self.kinds = len(ids)
 
-    def block(self, texts: Sequence[str]) -> tuple[Alignment, np.ndarray, np.ndarray]:
-        """The alignment of some texts, and how many tokens of A and B each has."""
-        whole = [(" " + t).encode() for t in texts]
+    def parts(self, texts: Sequence[str]) -> Iterator[tuple[int, Alignment, np.ndarray, np.ndarray]]:
+        """Some texts at a time: the place of the first one, their alignment, and how many tokens of A and B each has."""
         a_ids, a_counts = self.a.encode([" " + t for t in texts])
+        a_ends = np.append(0, np.cumsum(a_counts))
+        first = 0
+        while first < len(texts):
+            to, held = first + 1, len(texts[first])
+            while to < len(texts) and held + len(texts[to]) <= PART:
+                held += len(texts[to])
+                to += 1
+            yield first, *self.aligned(texts[first:to], a_ids[a_ends[first] : a_ends[to]], a_counts[first:to])
+            first = to
+
+    def aligned(self, texts: Sequence[str], a_ids: np.ndarray, a_counts: np.ndarray) -> tuple[Alignment, np.ndarray, np.ndarray]:
+        """The alignment of some texts, given their tokens of A, and how many tokens of A and B each has."""
+        whole = [(" " + t).encode() for t in texts]
         b_lists = self.b.encode(list(texts), num_threads=1)
         b_counts = np.array([len(x) for x in b_lists], np.int64)
         a_ends = np.cumsum(a_counts)
@@ -165,21 +178,27 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, part = shared.value.aligner(), TaskContext.get().partitionId()
         for k, (doc_ids, texts) in enumerate(portions(batches, block)):
-            n = len(texts)
-            made, n_a, n_b = aligner.block(texts)
-            per_text = lambda docs: np.bincount(docs, minlength=n).astype(np.int64)
-            opens = np.append(True, made.group[1:] != made.group[:-1])[: len(made.group)]
-            hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in aligner.shown_groups(made, n)]
+            n, kinds = len(texts), len(aligner.b_bytes)
+            n_a, n_b, n_groups, n_links = np.zeros((4, n), np.int64)
+            hashes, keys = [], []
+            for first, made, of_a, of_b in aligner.parts(texts):
+                m = len(of_a)
+                own = slice(first, first + m)
+                opens = np.append(True, made.group[1:] != made.group[:-1])[: len(made.group)]
+                n_a[own], n_b[own] = of_a, of_b
+                n_groups[own], n_links[own] = (np.bincount(docs, minlength=m) for docs in (made.token_doc[opens], made.link_doc))
+                hashes += [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in aligner.shown_groups(made, m)]
+                keys.append((made.link_a.astype(np.int64) * kinds + made.link_b) * n + made.link_doc + first)
             # pairs, texts of each pair and occurrences in each text by one sort
-            kinds = len(aligner.b_bytes)
-            keys = np.sort((made.link_a.astype(np.int64) * kinds + made.link_b) * n + made.link_doc)
+            keys = np.concatenate(keys)
+            keys.sort()
             at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
             times, keys = np.diff(np.append(at, len(keys))), keys[at]
             pair, holder = np.divmod(keys, n)
             at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
             held_by, pair = np.diff(np.append(at, len(pair))), pair[at]
             columns = [
-                doc_ids, n_a, n_b, per_text(made.token_doc[opens]), per_text(made.link_doc), hashes,
+                doc_ids, n_a, n_b, n_groups, n_links, hashes,
                 pair // kinds << 32 | pair % kinds, held_by.astype(np.int32), holder.astype(np.int32), times.astype(np.int32),
             ]
             kinds_of = [pa.int64()] * 5 + [pa.string(), pa.int64()] + [pa.int32()] * 3
@@ -239,7 +258,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = shared.value.aligner()
         for doc_ids, texts in portions(batches, block):
-            shown = aligner.shown_groups(aligner.block(texts)[0], len(texts))
+            shown = [g for _, made, of_a, _ in aligner.parts(texts) for g in aligner.shown_groups(made, len(of_a))]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(shown, pa.string())], ["doc_id", "groups"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, groups string")
